@@ -3,8 +3,9 @@
 Each rule bounds one ratio of a text. Its cutoffs are tried from the loosest to the tightest on the labelled
 good documents of a stratum: a cutoff passes if an exact binomial test shows that it rejects a share of good
 documents below the rule's limit. Along one rule the tests are a fixed sequence that stops at the first
-failure; over strata and rules the error is divided (Bonferroni). Of the passing cutoffs the one that rejects
-most labelled bad documents is taken, the loosest of equals; a rule that rejects none of them stays off.
+failure; over strata and rules the error is divided (Bonferroni). Of the passing cutoffs the one with the most
+labelled bad documents rejected, less COST for each good one, is taken, the loosest of equals; a rule without
+such a gain stays off.
 
 Edge cases: a null or empty text has no words and fails the base rule. Without labels, or with too few, no
 rule beyond the base is on. A null stratum is a stratum of its own. Repeated rows are judged one by one; a
@@ -28,6 +29,8 @@ SYMBOLS = b"#*$%&|<>"
 BATCH_BYTES = 8 << 20
 #: Share of good documents of a stratum that all rules together may reject, and the chance that this fails.
 RISK, DELTA = 0.05, 0.05
+#: Bad documents that one wrongly rejected good document outweighs.
+COST = 20
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim")
 _UPPER = bytes(range(65, 91))
 #: Cutoffs of each rule, from the loosest to the tightest; larger ratios are rejected.
@@ -130,8 +133,8 @@ def choose_cutoffs(counts: dict[tuple[str, str], tuple[list[int], list[int]]], r
             least = len(RULES[rule]) - i
             if not below_limit(sum(good[least:]), sum(good), risk / len(RULES), level):
                 break
-            if (caught := sum(bad[least:])) > best:
-                best, out[stratum, rule] = caught, cutoff
+            if (gain := sum(bad[least:]) - COST * sum(good[least:])) > best:
+                best, out[stratum, rule] = gain, cutoff
     return out
 
 
