@@ -66,9 +66,9 @@ def sparse_fit(x: np.ndarray, y: np.ndarray, limit: float = MAX_ERROR) -> tuple[
 
 
 def k_lines(x: np.ndarray, y: np.ndarray, k: int, rounds: int, seed: int = SEED) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """k lines by turns of assignment and fitting, from random groups and from groups along each reference; the better of all."""
+    """k lines by turns of assignment and fitting, from random groups and from groups along the target and each reference; the best of all."""
     n = len(y)
-    starts = [np.random.default_rng(seed).permutation(n), *(np.argsort(x[:, i], kind="stable") for i in range(x.shape[1]))]
+    starts = [np.random.default_rng(seed).permutation(n), np.argsort(y, kind="stable"), *(np.argsort(x[:, i], kind="stable") for i in range(x.shape[1]))]
     best: tuple[list[tuple[np.ndarray, float]], float] = ([], float("inf"))
     for start in starts:
         lines = [sparse_fit(x[g], y[g]) for g in np.array_split(start, k) if len(g)]
