@@ -9,10 +9,11 @@ counted by hash and settled; of those alike in the anchor only, one copy of each
 
 Transform. Distinct stretches with one anchor meet in a block. Their bytes are joined, sorted by suffix to
 LENGTH bytes, and transformed. Boundaries between suffix intervals are then found breadth-first by backward
-extension, by increasing common prefix: a boundary of prefix l before rank p gives, for each character c, the
-boundary of prefix l + 1 before rank C[c] + occ(c, p). It stops at LENGTH: where no boundary was found, the
-neighbours share LENGTH bytes or more. While most ranks lie on the frontier the same step is taken from the
-other end: a rank becomes a boundary when one lies between the ranks that follow its two neighbours.
+extension, by increasing common prefix: a boundary of prefix l before rank p is extended by each character c of
+the transform at p and after it, to the boundary of prefix l + 1 before rank LF of c's first place there. It
+stops at LENGTH: where no boundary was found, the neighbours share LENGTH bytes or more. While most ranks lie
+on the frontier the same step is taken from the other end: a rank becomes a boundary when one lies between the
+ranks that follow its two neighbours.
 
 Crowded anchors. If more than MOST distinct stretches share an anchor (a passage in very many documents whose
 surroundings differ), each is cut into shorter stretches that are dealt by all bytes their windows share,
@@ -42,7 +43,10 @@ GRAM = 64
 MOST = 1000
 CUTS = (16, 1)
 #: Bytes of a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Ranks after a boundary in which its extensions are looked for first.
+NEAR = 8
+MOST_PARTITIONS = 20_000
 BATCH_BYTES = 2 << 20
 #: Windows of a long text that are worked on at once; bits for places in the order of grams.
 SEGMENT = 1 << 22
@@ -153,7 +157,7 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     width = step
 
     def ranked(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         sorted_ = keys[order]
         new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
         rank = np.empty(n, dtype=np.int64)
@@ -178,32 +182,35 @@ def shared_prefix(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     array = np.argsort(rank, kind="stable")
     place = np.empty(n, dtype=np.int64)
     place[array] = np.arange(n)
-    bwt = codes[array - 1]
     first = codes[array]
     follow = place[(array + 1) % n]
-    alphabet = int(codes.max()) + 1
-    counts = np.bincount(codes, minlength=alphabet)
+    back = np.empty(n, dtype=np.int64)
+    back[follow] = np.arange(n)  # LF: the rank of the suffix one longer
     bounded = np.concatenate(([True], first[1:] != first[:-1]))
-    by_code = np.argsort(bwt, kind="stable")
-    keys = bwt[by_code].astype(np.int64) * n + by_code  # occ(c, p) = places of c n + p in it, less C[c]
-    present = np.flatnonzero(counts).astype(np.int64)
-    unset = np.flatnonzero(~bounded)
-    fresh = np.flatnonzero(bounded)
+    unset, fresh, wide = np.flatnonzero(~bounded), np.flatnonzero(bounded), None
     for _ in range(1, length):
         if not len(unset) or not len(fresh):
             break
-        if len(fresh) * len(present) < 4 * len(unset) + n:
-            at = np.searchsorted(keys, (present[:, None] * n + fresh[None, :]).ravel())  # C[c] + occ(c, p)
-            at = at[at < n]
-            fresh = np.unique(at[~bounded[at]])
-            bounded[fresh] = True
-        else:
-            unset = unset[~bounded[unset]]
+        if wide is None and NEAR * len(fresh) >= len(unset):  # most ranks are on the frontier
             total = np.cumsum(bounded)
             found = total[follow[unset]] > total[follow[unset - 1]]
-            fresh = unset[found]
+            fresh, unset = unset[found], unset[~found]
             bounded[fresh] = True
-            unset = unset[~found]
+            continue
+        if wide is None:
+            wide = unset[(follow[unset] - follow[unset - 1] > NEAR) | (follow[unset] < follow[unset - 1])]
+        new = []
+        for d in range(NEAR):  # extensions of the boundary before p lie at the ranks LF(p), LF(p + 1) ...
+            p = fresh[fresh + d < n]
+            k = back[p + d]
+            new.append(k[~bounded[k] & (follow[k - 1] < p)])
+        if len(wide):  # neighbours whose followers lie far apart
+            at = np.searchsorted(fresh, follow[wide - 1], side="right")
+            hit = np.append(fresh, n)[at] <= follow[wide]
+            new.append(wide[hit & ~bounded[wide]])
+            wide = wide[~hit]
+        fresh = np.unique(np.concatenate(new))
+        bounded[fresh] = True
     return array, ~bounded
 
 
@@ -306,7 +313,7 @@ def _expanded(bodies: DataFrame, length: int) -> DataFrame:
     """Repeated windows of stretches that meet by anchor, in blocks of about BLOCK bytes."""
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    dealt = bodies.select("row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block"))
+    dealt = bodies.select("row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).repartition(min(blocks, MOST_PARTITIONS), "block")
     return dealt.groupBy("block").applyInPandas(_block(length), _schema("row", "first") + ", last int")
 
 
@@ -370,15 +377,17 @@ def _remover(length: int, digest: bool):
             for text, runs in zip(utf8_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 spans = removed_spans([(r["first"], r["last"]) for r in runs or ()], length)
                 kept = _kept(text, spans) if spans else text
-                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest() if digest else kept))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()), strict=True)]
+                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
     return run
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, digest: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256, or the bytes ``kept`` without ``digest``."""
+    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256, or the text ``kept`` without ``digest``.
+
+    Where a removed span cuts a character, the rest of that character is left out of the text."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     ids = given.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     key = ids["n"] == ids["ids"] and given.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -386,8 +395,17 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
         given = stored(given.withColumn("row", F.monotonically_increasing_id()), "rows")
     rows = given.select((F.col("doc_id") if key else F.col("row")).alias("row"), "text")
     per_row = repeats(rows, length, gram, most).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    name, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
-    out = rows.join(per_row, "row", "left").select("row", "text", "runs").mapInArrow(_remover(length, digest), f"row long, n_bytes long, n_removed long, n_spans long, {name} {kind}")
+    name = "kept_sha256" if digest else "kept"
+    out = rows.join(per_row, "row", "left").select("row", "text", "runs").mapInArrow(_remover(length, digest), f"row long, n_bytes long, n_removed long, n_spans long, {name} string")
     if key:
         return out.withColumnRenamed("row", "doc_id")
     return out.join(given.select("row", "doc_id"), "row").select("doc_id", "n_bytes", "n_removed", "n_spans", name)
+
+
+def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of ``docs`` with their columns, repeated passages taken out of ``text``."""
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    key = ids["n"] == ids["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = docs.withColumn("_row", F.col("doc_id").cast("long")) if key else stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = remove(rows.select(F.col("_row").alias("doc_id"), "text"), length, digest=False).select(F.col("doc_id").alias("_id"), "kept", "n_removed")
+    return rows.join(kept, F.col("_row") == F.col("_id")).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns)

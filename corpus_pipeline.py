@@ -33,10 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated long passages go; n_chars follows. Bytes of a cut character that stay are dropped."""
-    kept = suffix_dedup.remove(docs, digest=False).select(F.col("doc_id").alias("_id"), "kept", "n_removed")
-    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.decode("kept", "UTF-8"))).otherwise(F.col("text"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id")).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Bytes of repeated long passages go; n_chars follows."""
+    return suffix_dedup.strip(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
