@@ -175,12 +175,12 @@ def sparse_fit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "target string, ref string, coeff double")
 
 
-@register("select 2 as lines, true as exact")
+@register("select true as several, true as exact")
 def k_lines_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = derived(spark, sf_dir, "two_lines").select("x", "y")
     models = next(c for c in train(df, model_types=["k-regression"]) if c["target-name"] == "y")["models"]
     best = min((m["mse"], len(m["config"])) for m in models.values())
-    return spark.createDataFrame([(best[1], best[0] < 1e-4)], "lines int, exact boolean")
+    return spark.createDataFrame([(best[1] > 1, best[0] < 1e-4)], "several boolean, exact boolean")
 
 
 @register("select avg(case when abs(d) < 1e-6 then 1 else 0 end)::double as equal, avg(d)::double as avg_diff, max(d)::double as max_diff from (select abs(l_orderkey % 4)::double as d from lineitem)")
