@@ -136,13 +136,14 @@ def _first_round(path: str, sequence: int, closing: int):
 
         def packed() -> pa.RecordBatch:
             nonlocal base
-            doc, piece, start, length, crc = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
+            docs, *numbers = zip(*rows, strict=True)
+            piece, start, length, crc = (np.array(x, dtype=np.int64) for x in numbers)
             bins, places, used = best_fit(length, sequence)
             ids = (np.int64(part) << 36) + base + bins
             base += len(used)
-            columns = (doc, piece.astype(np.int32), start, length, crc, ids, places, used[bins], np.full(len(doc), part, np.int32))
+            columns = (piece.astype(np.int32), start, length, crc, ids, places, used[bins], np.full(len(docs), part, np.int32))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PIECES.fieldNames())
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.array(c) for c in columns)], names=PIECES.fieldNames())
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), utf8_texts(batch.column(1)), strict=True):

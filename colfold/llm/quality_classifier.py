@@ -6,8 +6,8 @@ logarithm of target over raw probability. Adding Gumbel noise (a fixed function
 taking the k largest samples k documents without replacement in proportion to their weights.
 
 ``k`` may be given; else it is the number of documents whose noisy weight reaches the level that all but a
-share MISS of the labelled good documents reach. The target is fitted on at most MOST_TARGET labelled good
-documents (the ones with the smallest hashes); the raw model and the weights take every document.
+share MISS of held-out labelled good documents reach. The target is fitted on at most MOST_TARGET of the other
+half of them (those with the smallest hashes); the raw model and the weights take every document.
 
 Edge cases: a null or empty text has no n-grams and weight 0. Without good labels every document is kept.
 Repeated rows get equal weights and noise. Ties in the noisy weight fall together. Extra columns pass through.
@@ -104,9 +104,14 @@ def good_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_g_id")).agg(F.min("quality").alias("_g_quality")).where("_g_quality = 1").select("_g_id")
 
 
+def _held_out() -> Column:
+    """Half of the labelled documents set the level; the model is fitted on the others only."""
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), "_g_id"), F.lit(2)) == 1
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """Log of target over raw probability by bucket: BUCKETS numbers, whatever the input's size."""
-    sample = stored(good_ids(labels).orderBy(F.xxhash64("_g_id"), "_g_id").limit(MOST_TARGET), "target").withColumn("_g_good", F.lit(True))
+    sample = stored(good_ids(labels).where(~_held_out()).orderBy(F.xxhash64("_g_id"), "_g_id").limit(MOST_TARGET), "target").withColumn("_g_good", F.lit(True))
     marked = docs.select(F.col("doc_id").cast("long").alias("_d_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("_d_id") == F.col("_g_id"), "left")
     counted = marked.select("text", F.coalesce("_g_good", F.lit(False)).alias("good")).mapInArrow(_counter, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -122,7 +127,7 @@ def _scorer(ratio: np.ndarray, at: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, column, BATCH_BYTES):
             buckets, owner = gram_buckets(*_flat(batch.column(at)))
-            weight = np.bincount(owner, weights=ratio[buckets], minlength=batch.num_rows)
+            weight = np.bincount(owner, weights=ratio[buckets], minlength=batch.num_rows).astype(np.float64)
             grams = np.bincount(owner, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(grams.astype(np.int64))], names=[*batch.schema.names, "_w_log", "_w_grams"])
 
@@ -143,9 +148,13 @@ def noisy(seed: int = SEED) -> Column:
 
 
 def level_for(scored: DataFrame, labels: DataFrame, miss: float = MISS) -> float | None:
-    """The noisy weight that all but a share ``miss`` of the labelled good documents reach."""
-    good = scored.select(F.col("doc_id").cast("long").alias("_d_id"), noisy().alias("noisy")).join(good_ids(labels), F.col("_d_id") == F.col("_g_id"), "left_semi")
-    return good.agg(F.percentile_approx("noisy", F.lit(miss), F.lit(100_000)).alias("p")).first()["p"]
+    """The noisy weight that all but a share ``miss`` of the held-out good documents reach, lowered for what their number leaves uncertain."""
+    good = scored.select(F.col("doc_id").cast("long").alias("_d_id"), noisy().alias("noisy")).join(good_ids(labels).where(_held_out()), F.col("_d_id") == F.col("_g_id"), "left_semi")
+    r = good.agg(F.percentile_approx("noisy", F.array(F.lit(miss), F.lit(0.5)), F.lit(100_000)).alias("p"), F.count("*").alias("n")).first()
+    if not r["n"]:
+        return None
+    low, middle = r["p"]
+    return low - (middle - low) / (1 + r["n"] * miss) ** 0.5
 
 
 def level_for_k(scored: DataFrame, k: int, bits: int = 12) -> float:
@@ -182,6 +191,5 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ratio = fit(docs, labels)
     if ratio is None:
         return docs
-    labelled = docs.select("doc_id", "text").join(good_ids(labels), F.col("doc_id") == F.col("_g_id"), "left_semi")
-    level = level_for(with_weights(labelled, ratio), labels)
+    level = level_for(with_weights(docs.select("doc_id", "text"), ratio).drop("text"), labels)  # no text is shuffled to meet its label
     return docs if level is None else with_weights(docs, ratio).where(noisy() >= F.lit(level)).select(*docs.columns)

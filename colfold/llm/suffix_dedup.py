@@ -402,10 +402,29 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     return out.join(given.select("row", "doc_id"), "row").select("doc_id", "n_bytes", "n_removed", "n_spans", name)
 
 
+def _stripper(length: int, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, column, BATCH_BYTES):
+            at = batch.schema.get_field_index(column)
+            texts = batch.column(at).to_pylist()
+            for i, runs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if runs:
+                    raw = texts[i].encode()
+                    texts[i] = _kept(raw, removed_spans([(r["first"], r["last"]) for r in runs], length)).decode("utf-8", "ignore")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(batch.schema.names[:-1])
+
+    return run
+
+
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` with their columns, repeated passages taken out of ``text``."""
+    """The rows of ``docs`` with their columns, repeated passages taken out of ``text``; a null text stays null.
+
+    Where a removed span cuts a character, the rest of that character is left out.
+    """
     ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     key = ids["n"] == ids["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = docs.withColumn("_row", F.col("doc_id").cast("long")) if key else stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = remove(rows.select(F.col("_row").alias("doc_id"), "text"), length, digest=False).select(F.col("doc_id").alias("_id"), "kept", "n_removed")
-    return rows.join(kept, F.col("_row") == F.col("_id")).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).select(*docs.columns)
+    per_row = repeats(rows.select(F.col("_row").alias("row"), text_column(rows).alias("text")), length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    columns = [F.col(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns]
+    joined = rows.join(per_row, rows["_row"] == per_row["row"], "left").select(*columns, "_runs")
+    return joined.mapInArrow(_stripper(length, "text"), joined.drop("_runs").schema)
