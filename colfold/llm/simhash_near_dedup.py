@@ -11,6 +11,13 @@ Only distinct fingerprints take part, so copies never pair up. A cell with more
 group of near copies) is not joined pairwise: each member names its 64 one-bit neighbours and itself, and
 members that name the same one are within two bits, exactly; a name has at most 65 members.
 
+By similarity (``similar_groups``). Texts that share 0.8 of their sets of five-word shingles lie about ten bits
+apart, beyond any radius that a grid can search. There the grid is one source of candidates and bands of
+minimal hashes are the other (BANDS of ROWS; a pair at 0.8 misses all of them once in 2,800 times). Every
+candidate is verified on the whole shingle sets. A band with more than MOST_BAND members is not joined
+pairwise: all are compared with one member drawn for that band, those unlike it with a next one, until each is
+linked or was drawn.
+
 Edge cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any other.
 Repeated rows and ties share a fingerprint and a component. An empty table gives no rows. Extra columns are
 ignored. A null doc_id is no component's smallest unless all are null.
@@ -36,6 +43,10 @@ SEGMENTS = 32
 GROUPS = 6
 MOST = 64
 BATCH_BYTES = 2 << 20
+SIMILAR_SHINGLE = 5
+#: Bands, minimal hashes in each, and members of a band that are still paired.
+BANDS, ROWS = 20, 5
+MOST_BAND = 32
 _EVEN = 0x5555555555555555
 
 
@@ -76,6 +87,32 @@ def fingerprints(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text, n), dtype=np.uint64))
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+
+
+def _multipliers() -> np.ndarray:
+    rng = np.random.default_rng(42)
+    return rng.integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
+    """One key for each band of minimal hashes; an empty set has none."""
+    if not len(hashes):
+        return []
+    least = np.full(len(factors), ~np.uint64(0), dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12)]
+        mixed = (part ^ (part >> np.uint64(31)))[None, :] * factors[:, None]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
 def _fingerprinter(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
@@ -147,3 +184,81 @@ def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     return components(with_fingerprints(docs, n), radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sketcher(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _multipliers()
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            texts = utf8_texts(batch.column(1))
+            sets = [shingle_set(x, n) for x in texts]
+            columns = [
+                batch.column(0),
+                pa.array(fingerprints(texts, n).view(np.int64)),
+                pa.array([_signed(_set_key(x)) for x in sets], pa.int64()),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([band_keys(x, factors) for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "size", "bands"])
+
+    return run
+
+
+def _setter(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            sets = [shingle_set(x, n) for x in utf8_texts(batch.column(1))]
+            right = [i for i, (x, k) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if _signed(_set_key(x)) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(_set_key(sets[i])) for i in right], pa.int64()), pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of u, v whose sets of hashes are so similar."""
+    a, b = sets.select(F.col("key").alias("u"), F.col("hashes").alias("ha")), sets.select(F.col("key").alias("v"), F.col("hashes").alias("hb"))
+    both, common = F.size("ha") + F.size("hb"), F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(a, "u").join(b, "v").where(common * (1 + similarity) >= similarity * both - 1e-9).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, n: int = SIMILAR_SHINGLE, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over pairs whose sets of ``n``-word shingles are so similar.
+
+    Equal sets are one node, texts without words one more; copies never pair up.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    sketches = stored(texts.mapInArrow(_sketcher(n), "doc_id long, fp long, key long, size long, bands array<long>"), "sketches")
+    nodes = stored(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    by_print = nodes.groupBy("fp").agg(F.min("key").alias("hub"))
+    same = nodes.join(by_print, "fp").where("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    near = links(by_print.select("fp"), radius).distinct()
+    hub = lambda c: by_print.select(F.col("fp").alias(c), F.col("hub").alias(f"_{c}"))
+    grid = near.join(hub("u"), "u").join(hub("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    entered = nodes.select("key", "size", F.explode("bands").alias("band"))
+    counts = stored(entered.groupBy("band").count().where("count > 1"), "bands")
+    members = entered.join(counts, "band")
+    small = members.where(F.col("count") <= MOST_BAND)
+    a, b = small.select("band", F.col("key").alias("u"), F.col("size").alias("su")), small.select("band", F.col("key").alias("v"), F.col("size").alias("sv"))
+    alike = F.least("su", "sv") >= similarity * F.greatest("su", "sv") - 1e-9
+    pairs = a.join(b, "band").where((F.col("u") > F.col("v")) & alike).select("u", "v")
+    candidates = stored(pairs.unionByName(grid).unionByName(same).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    left = stored(members.where(F.col("count") > MOST_BAND).select("band", "key"), "crowded")
+    needed = candidates.select(F.col("u").alias("key")).unionByName(candidates.select(F.col("v").alias("key"))).unionByName(left.select("key")).distinct()
+    no_id = F.lit(-(1 << 63))
+    sources = nodes.join(needed, "key", "left_semi").select("key", F.coalesce("least", no_id).alias("_id"))
+    sets = stored(texts.withColumn("_id", F.coalesce("doc_id", no_id)).join(sources, "_id").select("key", "text").mapInArrow(_setter(n), "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
+    found = [stored(_verified(candidates, sets, similarity), "similar")]
+    while not left.isEmpty():  # each round draws one member for each crowded band and settles it and those like it
+        drawn = left.groupBy("band").agg(F.min_by("key", F.xxhash64("band", "key")).alias("v"))
+        tried = stored(left.join(drawn, "band").where("key != v").select("band", F.col("key").alias("u"), "v"), "tried")
+        linked = stored(_verified(tried.select("u", "v").distinct(), sets, similarity), "similar")
+        found.append(linked)
+        left = stored(tried.join(linked, ["u", "v"], "left_anti").select("band", F.col("u").alias("key")), "crowded")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    root = roots(every)
+    rooted = nodes.join(root, nodes["key"] == root["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("key", "component_id")
+    return sketches.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

@@ -24,8 +24,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays (one row of it, if it is repeated)."""
-    groups = simhash_near_dedup.near_duplicates(docs)
+    """Of each group of documents that share 0.8 of their five-word shingles the one with the smallest doc_id stays (one row of it, if it is repeated)."""
+    groups = simhash_near_dedup.similar_groups(docs)
     stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
     left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1")

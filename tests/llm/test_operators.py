@@ -42,6 +42,7 @@ OPERATORS = {
     "pieces": lambda d, lab: sentence_pieces.round_trip(d),
     "suffix": lambda d, lab: suffix_dedup.remove(d),
     "simhash": lambda d, lab: simhash_near_dedup.near_duplicates(d),
+    "similar": lambda d, lab: simhash_near_dedup.similar_groups(d),
     "classify": lambda d, lab: quality_classifier.resample(d, lab),
 }
 LABELS = "doc_id long, quality int, toxic int"
@@ -278,6 +279,36 @@ def test_simhash(spark):
     check_components({i: r["component_id"] for i, r in got.items()}, prints)
 
 
+@pytest.mark.parametrize("most", [32, 2])
+def test_similar_groups(spark, most, monkeypatch):
+    """Groups over five-word shingles at 0.8 as all pairs give them, with a crowd that is not paired; shared passages alone link nothing."""
+    monkeypatch.setattr(simhash_near_dedup, "MOST_BAND", most)
+    rng = random.Random(12)
+    draw = lambda n: [str(rng.randint(0, 500)) for _ in range(n)]
+    base = [draw(rng.randint(4, 150)) for _ in range(30)]
+    crowd, passage = draw(300), draw(60)
+
+    def edited(words, edits):
+        words = list(words)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = "x" + str(rng.random())
+        return words
+
+    lists = [*base, *(edited(b, rng.choice([0, 1, 2, 3])) for b in base), *(edited(crowd, rng.randint(0, 4)) for _ in range(40)), *(passage + draw(80) for _ in range(10)), *[base[0]] * 3]
+    texts = [*(" ".join(x) for x in lists), None, "", " \n", "Word", "word"]
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash_near_dedup.similar_groups(make(spark, texts)))}
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] < label[i] and (a == b or 10 * len(a & b) >= 8 * len(a | b)):
+                    label[i], changed = label[j], True
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def check_components(component, prints):
     label = list(range(len(prints)))
     changed = True
