@@ -15,8 +15,8 @@ By similarity (``similar_groups``). Texts that share 0.8 of their sets of five-w
 apart, beyond any radius that a grid can search. There the grid is one source of candidates and bands of
 minimal hashes are the other (BANDS of ROWS; a pair at 0.8 misses all of them once in 2,800 times). Every
 candidate is verified on the whole shingle sets. A band with more than MOST_BAND members is not joined
-pairwise: all are compared with one member drawn for that band, those unlike it with a next one, until each is
-linked or was drawn.
+pairwise: all are compared with the one whose shingles are the most common, and those that this leaves apart are
+joined exactly, by the rarest shingles of each set (``_crowded_links``).
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any other.
 Repeated rows and ties share a fingerprint and a component. An empty table gives no rows. Extra columns are
@@ -47,6 +47,9 @@ SIMILAR_SHINGLE = 5
 #: Bands, minimal hashes in each, and members of a band that are still paired.
 BANDS, ROWS = 20, 5
 MOST_BAND = 32
+#: Rounds of comparing a crowded band with one member, and the ratio of sizes that its exact join takes together.
+HUBS = 2
+SIZE_STEP = 1.05
 _EVEN = 0x5555555555555555
 
 
@@ -221,6 +224,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "u").join(b, "v").where(common * (1 + similarity) >= similarity * both - 1e-9).select("u", "v")
 
 
+def _crowded_links(crowded: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """crowded: band, key. Links u, v that connect exactly what similar pairs inside the bands connect.
+
+    Members of a band are compared with its most common member, those unlike it once more with theirs. Pairs that
+    these links leave apart have a member outside the group of its band's first hub; such members meet all others by
+    a prefix join: tokens in one order from rare to common, one shared token near the front of both, and as many left
+    behind it as the sizes ask for.
+    """
+    t, slack = similarity, 1e-9
+    bucket = lambda size: F.floor(F.log(size) / F.log(F.lit(SIZE_STEP)))
+    tokens = sets.join(crowded.select("key").distinct(), "key", "left_semi").select("key", F.explode("hashes").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    placed = tokens.join(often, "token", "left").select("key", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token").alias("x"))
+    ordered = placed.groupBy("key").agg(F.count("*").alias("size"), F.avg(F.log("x.n")).alias("common"), F.sort_array(F.collect_list("x")).alias("tokens"))
+    length = (F.col("size") - F.ceil(t * F.col("size") - slack) + 1).cast("int")
+    ordered = stored(ordered.select("key", "size", "common", F.slice("tokens", F.lit(1), length).alias("tokens")), "ordered")
+    rank = ordered.select("key", "common")
+    left, found, first = crowded, [], None
+    for _ in range(HUBS):
+        drawn = stored(left.join(rank, "key").groupBy("band").agg(F.max_by("key", F.struct("common", "key")).alias("v")), "hubs")
+        first = drawn if first is None else first
+        tried = left.join(drawn, "band").where("key != v").select("band", F.col("key").alias("u"), "v")
+        linked = stored(_verified(tried.select("u", "v").distinct(), sets, t), "similar")
+        found.append(linked)
+        left = stored(tried.join(linked, ["u", "v"], "left_anti").select("band", F.col("u").alias("key")), "crowded")
+    root = roots(_union(found))
+    named = stored(ordered.join(root, ordered["key"] == root["node"], "left").select("key", "size", F.coalesce("root", "key").alias("label"), "tokens"), "labelled")
+    label = named.select("key", "label")
+    hubs = first.join(label, first["v"] == label["key"]).select("band", F.col("label").alias("hub"))
+    apart = crowded.join(label, "key").join(hubs, "band").where("label != hub").select("key").distinct()
+    entries = lambda df: df.select("key", "size", "label", F.posexplode("tokens").alias("at", "x")).select("key", "size", "label", "at", "x.n", "x.token").where("n > 1").drop("n")
+    reach = F.least((F.col("size") - F.col("at")) * ((1 + t) / t) - F.col("size"), F.col("size") / t) + slack
+    asking = entries(named.join(apart, "key", "left_semi")).withColumn("lowest", F.greatest(t * F.col("size") - slack, F.lit(1.0))).where(reach >= F.col("lowest"))
+    a = asking.select("token", "key", "size", "label", "at", F.explode(F.sequence(bucket(F.col("lowest")), bucket(reach))).alias("bucket")).alias("a")
+    b = entries(named).withColumn("bucket", bucket(F.col("size"))).alias("b")
+    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    enough = rest * (1 + t) >= t * (F.col("a.size") + F.col("b.size")) - slack
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & enough)
+    pairs = stored(met.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct(), "candidates")
+    return [*found, stored(_verified(pairs, sets, t), "similar")]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def similar_groups(docs: DataFrame, n: int = SIMILAR_SHINGLE, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """doc_id, component_id: the smallest doc_id reachable over pairs whose sets of ``n``-word shingles are so similar.
 
@@ -242,22 +294,15 @@ def similar_groups(docs: DataFrame, n: int = SIMILAR_SHINGLE, similarity: float
     alike = F.least("su", "sv") >= similarity * F.greatest("su", "sv") - 1e-9
     pairs = a.join(b, "band").where((F.col("u") > F.col("v")) & alike).select("u", "v")
     candidates = stored(pairs.unionByName(grid).unionByName(same).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
-    left = stored(members.where(F.col("count") > MOST_BAND).select("band", "key"), "crowded")
-    needed = candidates.select(F.col("u").alias("key")).unionByName(candidates.select(F.col("v").alias("key"))).unionByName(left.select("key")).distinct()
+    crowded = stored(members.where(F.col("count") > MOST_BAND).select("band", "key"), "crowded")
+    needed = candidates.select(F.col("u").alias("key")).unionByName(candidates.select(F.col("v").alias("key"))).unionByName(crowded.select("key")).distinct()
     no_id = F.lit(-(1 << 63))
     sources = nodes.join(needed, "key", "left_semi").select("key", F.coalesce("least", no_id).alias("_id"))
     sets = stored(texts.withColumn("_id", F.coalesce("doc_id", no_id)).join(sources, "_id").select("key", "text").mapInArrow(_setter(n), "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
     found = [stored(_verified(candidates, sets, similarity), "similar")]
-    while not left.isEmpty():  # each round draws one member for each crowded band and settles it and those like it
-        drawn = left.groupBy("band").agg(F.min_by("key", F.xxhash64("band", "key")).alias("v"))
-        tried = stored(left.join(drawn, "band").where("key != v").select("band", F.col("key").alias("u"), "v"), "tried")
-        linked = stored(_verified(tried.select("u", "v").distinct(), sets, similarity), "similar")
-        found.append(linked)
-        left = stored(tried.join(linked, ["u", "v"], "left_anti").select("band", F.col("u").alias("key")), "crowded")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    root = roots(every)
+    if not crowded.isEmpty():
+        found += _crowded_links(crowded, sets, similarity)
+    root = roots(_union(found))
     rooted = nodes.join(root, nodes["key"] == root["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("key", "component_id")
