@@ -19,6 +19,10 @@ Crowded anchors. If more than MOST distinct stretches share an anchor (a passage
 surroundings differ), each is cut into shorter stretches that are dealt by all bytes their windows share,
 down to single windows, which are equal or not. So no block is unbounded and no window is skipped.
 
+Words. ``strip`` works twice: on bytes as above, and on words, the symbols of the same steps then being 64-bit hashes
+of words and a window WORDS of them. So a passage of WORDS words goes however few bytes it has, and one of LENGTH
+bytes however few words; white space between words is not compared.
+
 Edge cases: null and empty texts, and those shorter than LENGTH, lose nothing. Repeated rows and ties lose
 their common bytes in every copy, the first included. An empty table gives no rows.
 Extra columns are ignored. Rows with a null or repeated doc_id are rows of their own.
@@ -39,6 +43,9 @@ from colfold.llm.common import small_batches, stored, text_column, utf8_texts
 
 LENGTH = 400
 GRAM = 64
+#: Words in a window where words are the symbols ("over 50"), and in an anchor.
+WORDS = 51
+WORD_GRAM = 8
 #: Distinct stretches of one anchor in a block, and windows in a stretch once a crowded one is cut.
 MOST = 1000
 CUTS = (16, 1)
@@ -93,7 +100,36 @@ class Hashes:
         return _mixed((p[end] - p[begin]) * _powers(which, len(p))[1][begin] + (end - begin).astype(np.uint64))
 
 
-def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words (cut at space and 0x09 to 0x0D) of texts that lie end to end."""
+    inside = ~(((data >= 9) & (data <= 13)) | (data == 32))
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[starts] = True
+    begin = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([True], inside))[:-1]))
+    end = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside, [False]))[1:])) + 1
+    return begin, end
+
+
+def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if not len(data):
+        return [np.zeros(0, np.uint64) for _ in texts]
+    ends = np.cumsum(sizes)
+    begin, end = word_bounds(data, ends - sizes)
+    return np.split(Hashes(data).of(begin, end, 1), np.searchsorted(begin, ends[:-1]))
+
+
+def _symbols(texts: list[bytes], words: bool) -> list[np.ndarray]:
+    return word_symbols(texts) if words else [np.frombuffer(x, dtype=np.uint8) for x in texts]
+
+
+def _kind(words: bool) -> type:
+    return np.uint64 if words else np.uint8
+
+
+def stretches(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of every stretch: text, first window, number of windows, the anchor's place in it, and hashes of its anchor and of all of it."""
     owner_of, offset_of, pieces = [], [], []
     for i, text in enumerate(texts):  # windows of a long text are worked on a segment at a time
@@ -104,7 +140,7 @@ def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     if not pieces:
         return (np.zeros(0, np.int64),) * 6
     sizes = np.array([len(x) for x in pieces], dtype=np.int64)
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    data = np.concatenate(pieces)
     starts = np.cumsum(sizes) - sizes
     hashes = Hashes(data)
     n_grams, n_windows = len(data) - gram + 1, len(data) - length + 1
@@ -134,11 +170,11 @@ def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
 STRETCHES = "row long, first int, windows int, at int, anchor long, whole long"
 
 
-def _stretcher(length: int, gram: int):
+def _stretcher(length: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
             row = batch.column(0).to_numpy(zero_copy_only=False)
-            text, first, windows, at, anchor, whole = stretches(utf8_texts(batch.column(1)), length, gram)
+            text, first, windows, at, anchor, whole = stretches(_symbols(utf8_texts(batch.column(1)), words), length, gram)
             columns = (row[text.astype(np.int64)], first.astype(np.int32), windows.astype(np.int32), at.astype(np.int32), anchor, whole)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "first", "windows", "at", "anchor", "whole"])
 
@@ -214,17 +250,18 @@ def shared_prefix(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return array, ~bounded
 
 
-def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(parts: list[bytes], windows: np.ndarray, length: int, kind: type = np.uint8) -> np.ndarray:
     """For the parts end to end: which of each part's windows occur at two places of all parts at least."""
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    data = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).astype(np.int64) + 3
+    sizes = np.array([len(p) for p in parts], dtype=np.int64) // np.dtype(kind).itemsize
+    used, inverse = np.unique(np.frombuffer(b"".join(parts), dtype=kind), return_inverse=True)  # small alphabets sort faster
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    data[ends] = 2
-    used = np.unique(data)
-    codes = np.searchsorted(used, data) + 2  # small alphabets sort faster
+    codes = np.full(len(inverse) + len(parts), 2, dtype=np.int64)
+    inner = np.ones(len(codes), dtype=bool)
+    inner[ends] = False
+    codes[inner] = inverse + 3
     array, equal = shared_prefix(np.append(codes, 1), length)
-    flag = np.zeros(len(data) + 1, dtype=bool)
+    flag = np.zeros(len(codes) + 1, dtype=bool)
     at = np.flatnonzero(equal)
     flag[array[at]] = True
     flag[array[at - 1]] = True
@@ -246,12 +283,12 @@ def _runs(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner[a], inner[a], inner[b]
 
 
-def _block(length: int):
+def _block(length: int, kind: type):
     """Repeated windows of one block's stretches; those that other rows share as a whole are settled and only compared with."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         windows = rows["windows"].to_numpy().astype(np.int64)
-        flags = repeated_windows(rows["body"].tolist(), windows, length) & np.repeat(rows["alone"].to_numpy(), windows)
+        flags = repeated_windows(rows["body"].tolist(), windows, length, kind) & np.repeat(rows["alone"].to_numpy(), windows)
         group, first, last = _runs(flags, windows)
         begin = rows["first"].to_numpy()[group]
         return pd.DataFrame({"row": rows["row"].to_numpy()[group], "first": (begin + first).astype(np.int32), "last": (begin + last).astype(np.int32)})
@@ -276,64 +313,68 @@ BODY = ("row", "first", "windows", "at", "anchor", "alone", "many", "body")
 PIECE = ("row", "first", "windows", "at", "anchor", "whole", "alone", "body")
 
 
-def _slicer(length: int):
-    """The bytes of the stretches wanted from each text."""
+def _slicer(length: int, words: bool):
+    """The symbols of the stretches wanted from each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
             out = []
-            for row, text, wanted in zip(batch.column(0).to_pylist(), utf8_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                out += [(row, w["first"], w["windows"], w["at"], w["anchor"], w["alone"], w["many"], text[w["first"] : w["first"] + w["windows"] + length - 1]) for w in wanted]
+            for row, text, wanted in zip(batch.column(0).to_pylist(), _symbols(utf8_texts(batch.column(1)), words), batch.column(2).to_pylist(), strict=True):
+                out += [(row, w["first"], w["windows"], w["at"], w["anchor"], w["alone"], w["many"], text[w["first"] : w["first"] + w["windows"] + length - 1].tobytes()) for w in wanted]
             yield _batch(out, BODY)
 
     return run
 
 
-def _cutter(length: int, windows: int):
-    """Cuts stretches, at places fixed by the anchor, into pieces of ``windows`` windows keyed by the bytes that these windows share."""
+def _cutter(length: int, windows: int, kind: type):
+    """Cuts stretches, at places fixed by the anchor, into pieces of ``windows`` windows keyed by the symbols that these windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "body", BATCH_BYTES // 4):
             out = []
             for row, first, count, at, anchor, alone, _, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = Hashes(np.frombuffer(body, dtype=np.uint8))
+                symbols = np.frombuffer(body, dtype=kind)
+                hashes = Hashes(symbols)
                 cell = (at - np.arange(count)) // windows
                 begins = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1))
                 sizes = np.diff(np.append(begins, count))
                 core = at - cell[begins] * windows  # what all windows of the whole cell share, wherever this stretch ends
                 keys = _mixed(hashes.of(core, core - windows + 1 + length, 0) ^ np.uint64(anchor & (1 << 64) - 1) ^ _mixed((cell[begins] + (1 << 32)).astype(np.uint64)))
                 whole = hashes.of(begins, begins + sizes + length - 1, 1) ^ _mixed((at - begins).astype(np.uint64) * _BASES[1] + sizes.astype(np.uint64))
-                out += [(row, first + b, n, at - b, k, w, alone, body[b : b + n + length - 1]) for b, n, k, w in zip(begins.tolist(), sizes.tolist(), keys.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True)]
+                out += [(row, first + b, n, at - b, k, w, alone, symbols[b : b + n + length - 1].tobytes()) for b, n, k, w in zip(begins.tolist(), sizes.tolist(), keys.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True)]
             yield _batch(out, PIECE)
 
     return run
 
 
-def _expanded(bodies: DataFrame, length: int) -> DataFrame:
+def _expanded(bodies: DataFrame, length: int, kind: type) -> DataFrame:
     """Repeated windows of stretches that meet by anchor, in blocks of about BLOCK bytes."""
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
     dealt = bodies.select("row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).repartition(min(blocks, MOST_PARTITIONS), "block")
-    return dealt.groupBy("block").applyInPandas(_block(length), _schema("row", "first") + ", last int")
+    return dealt.groupBy("block").applyInPandas(_block(length, kind), _schema("row", "first") + ", last int")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """docs: row (unique long), text. Returns row, first, last: runs of windows that start elsewhere too."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, words: bool = False) -> DataFrame:
+    """docs: row (unique long), text. Returns row, first, last: runs of windows that start elsewhere too.
+
+    Places and lengths count bytes, or words with ``words``."""
+    kind = _kind(words)
     if gram > length:
         raise ValueError("a gram is longer than a window")
-    found = stored(docs.mapInArrow(_stretcher(length, gram), STRETCHES), "stretches")
+    found = stored(docs.mapInArrow(_stretcher(length, gram, words), STRETCHES), "stretches")
     distinct = stored(found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows", "at")).alias("one")), "distinct")
     crowd = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = distinct.join(crowd, "anchor").select("one.*", F.struct("one.first", "one.windows", "one.at", "anchor", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many")).alias("w"))
     per_row = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    bodies = stored(docs.join(per_row, "row").select("row", "text", "wanted").mapInArrow(_slicer(length), _schema(*BODY)), "bodies")
+    bodies = stored(docs.join(per_row, "row").select("row", "text", "wanted").mapInArrow(_slicer(length, words), _schema(*BODY)), "bodies")
     equal = found.join(distinct.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
-    runs = [equal.select("row", "first", _last()), _expanded(bodies.where("not many"), length)]
+    runs = [equal.select("row", "first", _last()), _expanded(bodies.where("not many"), length, kind)]
     left = bodies.where("many")
     for windows in (min(c, length) for c in CUTS):
         if left.isEmpty():
             break
-        pieces = stored(left.select(*BODY).mapInArrow(_cutter(length, windows), _schema(*PIECE)), "pieces")
+        pieces = stored(left.select(*BODY).mapInArrow(_cutter(length, windows, kind), _schema(*PIECE)), "pieces")
         kinds = stored(pieces.groupBy("anchor", "whole").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"), F.min(F.struct("row", "first")).alias("one")), "kinds")
         equal = pieces.where("alone").join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
         runs.append(equal.select("row", "first", _last()))
@@ -342,7 +383,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
         crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
         ones = kinds.join(crowd, "anchor").select("one.*", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many"))
         bodies = stored(pieces.drop("alone").join(ones, ["row", "first"]).select(*BODY), "bodies")
-        runs.append(_expanded(bodies.where("not many"), length))
+        runs.append(_expanded(bodies.where("not many"), length, kind))
         left = bodies.where("many")
     every = runs[0]
     for more in runs[1:]:
@@ -402,29 +443,40 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     return out.join(given.select("row", "doc_id"), "row").select("doc_id", "n_bytes", "n_removed", "n_spans", name)
 
 
-def _stripper(length: int, column: str):
+def _stripped(text: bytes, runs: list[dict], length: int, words: int) -> bytes:
+    """``text`` without the bytes that runs of windows of bytes or of words cover."""
+    spans = removed_spans([(r["first"], r["last"]) for r in runs if not r["words"]], length)
+    if by_word := removed_spans([(r["first"], r["last"]) for r in runs if r["words"]], words):
+        begin, end = word_bounds(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64))
+        spans = removed_spans([*spans, *((int(begin[a]), int(end[b - 1])) for a, b in by_word)], 0)
+    return _kept(text, spans)
+
+
+def _stripper(length: int, words: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, column, BATCH_BYTES):
             at = batch.schema.get_field_index(column)
             texts = batch.column(at).to_pylist()
             for i, runs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if runs:
-                    raw = texts[i].encode()
-                    texts[i] = _kept(raw, removed_spans([(r["first"], r["last"]) for r in runs], length)).decode("utf-8", "ignore")
+                    texts[i] = _stripped(texts[i].encode(), runs, length, words).decode("utf-8", "ignore")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(batch.schema.names[:-1])
 
     return run
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` with their columns, repeated passages taken out of ``text``; a null text stays null.
+def strip(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` with their columns, passages of ``length`` bytes or of ``words`` words that start elsewhere
+    too taken out of ``text``; a null text stays null.
 
     Where a removed span cuts a character, the rest of that character is left out.
     """
     ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     key = ids["n"] == ids["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = docs.withColumn("_row", F.col("doc_id").cast("long")) if key else stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    per_row = repeats(rows.select(F.col("_row").alias("row"), text_column(rows).alias("text")), length).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    given = rows.select(F.col("_row").alias("row"), text_column(rows).alias("text"))
+    runs = repeats(given, length).withColumn("words", F.lit(False)).unionByName(repeats(given, words, min(WORD_GRAM, words), words=True).withColumn("words", F.lit(True)))
+    per_row = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last", "words")).alias("_runs"))
     columns = [F.col(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns]
     joined = rows.join(per_row, rows["_row"] == per_row["row"], "left").select(*columns, "_runs")
-    return joined.mapInArrow(_stripper(length, "text"), joined.drop("_runs").schema)
+    return joined.mapInArrow(_stripper(length, words, "text"), joined.drop("_runs").schema)

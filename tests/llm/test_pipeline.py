@@ -1,9 +1,10 @@
 """The pipeline's stages and whole, on a small table."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
-from colfold.llm import best_fit_packing
+from colfold.llm import best_fit_packing, suffix_dedup
 
 
 def test_stages(spark, tmp_path):
@@ -28,3 +29,41 @@ def test_stages(spark, tmp_path):
     assert not set(range(125, 135)) & set(kept) and all(passage not in kept[i] for i in (122, 123, 124) if i in kept)
     want = {(r["doc_id"], r["ids_crc32"]) for r in best_fit_packing.pack(left).collect()}
     assert {(r["doc_id"], r["ids_crc32"]) for r in pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_short_repeated_passages_go(spark, tmp_path):
+    """Passages of 51 words and more go even below 400 bytes, those of 50 stay; texts without words, nulls and repeated ids too."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    lengths = [50, *range(51, 61)]
+    passages = [prose(n) for n in lengths]
+    assert all(len(p) < 400 for p in passages)
+    texts, want = [], []
+    for n, p in zip(lengths, passages, strict=True):
+        for gap in (" ", "\n"):
+            before, after = prose(30), prose(30)
+            texts.append(f"{before} {p.replace(' ', gap)} {after}")
+            want.append(texts[-1] if n == 50 else f"{before}  {after}")
+    x, y = prose(55), "".join(rng.choice("abcdefghij") for _ in range(420))
+    texts += [f"é {y} a", f"ü {y} b", x, x, None, "", " \n"]
+    want += ["éa", "üb", "", "", None, "", " \n"]  # the spaces around are equal bytes too
+    for ids in (range(len(texts)), [i // 2 if i % 3 else None for i in range(len(texts))]):
+        docs = spark.createDataFrame([(i, t, "en", str(at), len(t or "")) for at, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = {int(r["source"]): r["text"] for r in pipeline.remove_repeats(spark, docs, str(tmp_path)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_word_windows(spark):
+    """Word windows against plain counting, crowded anchors included."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(120):
+        t = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        texts.append(" ".join(t + rng.choice([x.split() for x in texts])[:20] if texts and rng.random() < 0.4 else t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    for length, gram, most in ((6, 2, 1000), (12, 3, 1)):
+        seen = Counter(tuple(w[i : i + length]) for w in map(str.split, texts) for i in range(len(w) - length + 1))
+        want = {(row, i) for row, t in enumerate(texts) for w in [t.split()] for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1}
+        got = {(r["row"], i) for r in suffix_dedup.repeats(docs, length, gram, most, words=True).collect() for i in range(r["first"], r["last"] + 1)}
+        assert got == want
