@@ -5,11 +5,12 @@ labelled good, the raw model in all documents. A document's log weight is the su
 logarithm of target over raw probability. Adding Gumbel noise (a fixed function of seed and doc_id) and
 taking the k largest samples k documents without replacement in proportion to their weights.
 
-``k`` may be given; else it is the number of documents whose noisy weight reaches the level that all but a
-share MISS of held-out labelled good documents reach. The target is fitted on at most MOST_TARGET of the other
+``k`` may be given; else nothing is ranked: a document is kept if its mean, the noisy weight over its n-grams and
+SHRINK more of weight 0, reaches the level that all but a share MISS of held-out labelled good documents reach.
+A sum would grow with the length, and the longest good document would set the level. The target is fitted on at most MOST_TARGET of the other
 half of them (those with the smallest hashes); the raw model and the weights take every document.
 
-Edge cases: a null or empty text has no n-grams and weight 0. Without good labels every document is kept.
+Edge cases: a null or empty text has no n-grams and weight 0, so its noise alone decides. Without good labels every document is kept.
 Repeated rows get equal weights and noise. Ties in the noisy weight fall together. Extra columns pass through.
 """
 
@@ -29,6 +30,8 @@ BUCKETS = 1 << 14
 BATCH_BYTES = 4 << 20
 MOST_TARGET = 50_000
 MISS = 0.002
+#: N-grams of weight 0 that every mean counts besides a document's own: a few words say little.
+SHRINK = 30
 SEED = 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -147,14 +150,15 @@ def noisy(seed: int = SEED) -> Column:
     return F.col("_w_log") - F.log(-F.log(uniform))
 
 
+def noisy_mean() -> Column:
+    """Noisy weight per n-gram, drawn towards 0 in short texts."""
+    return noisy() / (F.col("_w_grams") + F.lit(SHRINK))
+
+
 def level_for(scored: DataFrame, labels: DataFrame, miss: float = MISS) -> float | None:
-    """The noisy weight that all but a share ``miss`` of the held-out good documents reach, lowered for what their number leaves uncertain."""
-    good = scored.select(F.col("doc_id").cast("long").alias("_d_id"), noisy().alias("noisy")).join(good_ids(labels).where(_held_out()), F.col("_d_id") == F.col("_g_id"), "left_semi")
-    r = good.agg(F.percentile_approx("noisy", F.array(F.lit(miss), F.lit(0.5)), F.lit(100_000)).alias("p"), F.count("*").alias("n")).first()
-    if not r["n"]:
-        return None
-    low, middle = r["p"]
-    return low - (middle - low) / (1 + r["n"] * miss) ** 0.5
+    """The noisy mean that all but a share ``miss`` of the held-out good documents reach: their least, if they are too few to show it."""
+    good = scored.select(F.col("doc_id").cast("long").alias("_d_id"), noisy_mean().alias("noisy")).join(good_ids(labels).where(_held_out()), F.col("_d_id") == F.col("_g_id"), "left_semi")
+    return good.agg(F.percentile_approx("noisy", F.lit(miss), F.lit(100_000))).first()[0]
 
 
 def level_for_k(scored: DataFrame, k: int, bits: int = 12) -> float:
@@ -182,7 +186,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     ratio = fit(narrow, labels)
     scored = stored(with_weights(narrow, ratio).drop("text"), "weights")
     level = level_for(scored, labels) if k is None else level_for_k(scored, k)
-    kept = F.lit(True) if ratio is None or level is None else noisy() >= F.lit(level)
+    kept = F.lit(True) if ratio is None or level is None else (noisy_mean() if k is None else noisy()) >= F.lit(level)
     return scored.select("doc_id", F.col("_w_grams").alias("n_grams"), F.round("_w_log", 6).alias("log_weight"), F.round(noisy(), 6).alias("noisy_weight"), kept.alias("kept"))
 
 
@@ -192,4 +196,4 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if ratio is None:
         return docs
     level = level_for(with_weights(docs.select("doc_id", "text"), ratio).drop("text"), labels)  # no text is shuffled to meet its label
-    return docs if level is None else with_weights(docs, ratio).where(noisy() >= F.lit(level)).select(*docs.columns)
+    return docs if level is None else with_weights(docs, ratio).where(noisy_mean() >= F.lit(level)).select(*docs.columns)

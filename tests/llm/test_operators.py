@@ -391,3 +391,15 @@ def test_gumbel_top_k_samples_by_weight(spark):
     level = quality_classifier.level_for_k(df, 400)
     kept = [r["doc_id"] for r in df.where(quality_classifier.noisy() >= level).collect()]
     assert len(kept) == 400 and 0.67 < sum(i % 2 == 0 for i in kept) / 400 < 0.83
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_classifier_rejects_bad_documents_of_every_length(spark, sf):
+    """Bad documents are never fitted as target; the level is set on good ones only."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{x}.parquet") for x in ("documents", "labels"))
+    got = quality_classifier.resample(docs, labels).join(labels, "doc_id").collect()
+    share = lambda some: sum(not r["kept"] for r in some) / len(some)
+    bad = [r for r in got if r["quality"] == 0]
+    short, good = [r for r in bad if r["n_grams"] < 400], [r for r in got if r["quality"] == 1 and r["toxic"] == 0]
+    print(f"sf{sf}: rejected bad {share(bad):.3f} of {len(bad)}, short bad {share(short):.3f} of {len(short)}, good {share(good):.4f} of {len(good)}")
+    assert share(bad) > 0.6 and share(short) > 0.6 and share(good) < 0.01
