@@ -50,6 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def truth(labels: DataFrame) -> DataFrame:
+    """_l_id, _l_quality, _l_toxic (0 or 1): the worst that any label says of a document."""
+    toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(0)
+    return labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_l_id")).agg(F.min("quality").alias("_l_quality"), F.coalesce(F.max(toxic), F.lit(0)).alias("_l_toxic"))
+
+
 def text_column(df: DataFrame, column: str = "text"):
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -10,8 +10,13 @@ SHRINK more of weight 0, reaches the level that all but a share MISS of held-out
 A sum would grow with the length, and the longest good document would set the level. The target is fitted on at most MOST_TARGET of the other
 half of them (those with the smallest hashes); the raw model and the weights take every document.
 
+Toxic text is good prose but for a few words, which no mean over n-grams shows. So a document is good only if no
+label calls it toxic, and a second model weighs words by the documents that have them: the logarithm of their share
+among labelled toxic over that among good ones (the same half). A document counts by its heaviest word, and goes if
+that is above what all but a share MISS of held-out good documents reach.
+
 Edge cases: a null or empty text has no n-grams and weight 0, so its noise alone decides. Without good labels every document is kept.
-Repeated rows get equal weights and noise. Ties in the noisy weight fall together. Extra columns pass through.
+Repeated rows get equal weights and noise. Ties in the noisy weight fall together. Labels without toxic ones weigh no words. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colfold.llm.common import small_batches, stored
+from colfold.llm.common import small_batches, stored, truth
 
 BUCKETS = 1 << 14
 BATCH_BYTES = 4 << 20
 MOST_TARGET = 50_000
+#: Words of the toxic model, each in two labelled toxic documents at least.
+MOST_WORDS = 10_000
 MISS = 0.002
 #: N-grams of weight 0 that every mean counts besides a document's own: a few words say little.
 SHRINK = 30
@@ -58,11 +65,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_buckets(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of texts that lie end to end in ``data``, and the text that each belongs to."""
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie end to end in ``data``, and the text that each belongs to."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blank = ((data >= 9) & (data <= 13)) | (data == 32)
     first = np.zeros(n + 1, dtype=bool)
     first[starts[starts < n]] = True
@@ -70,12 +77,20 @@ def gram_buckets(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -
     begin = np.flatnonzero(inside & (first[:n] | np.concatenate(([True], blank[:-1]))))
     end = np.flatnonzero(inside & (first[1:] | np.concatenate((blank[1:], [True])))) + 1
     if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     power, inverse = _powers(n + 1)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
     words = _mixed((prefix[end] - prefix[begin]) * inverse[begin])
-    owner = np.searchsorted(starts, begin, side="right") - 1
+    return words, np.searchsorted(starts, begin, side="right") - 1
+
+
+def gram_buckets(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of texts that lie end to end in ``data``, and the text that each belongs to."""
+    return _grams(*word_hashes(data, starts), buckets)
+
+
+def _grams(words: np.ndarray, owner: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     pair = owner[1:] == owner[:-1]
     pairs = _mixed(words[:-1] * np.uint64(3) + words[1:] * _BASE + np.uint64(1))[pair]
     both = np.concatenate((words, pairs))
@@ -103,8 +118,13 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
-    """_g_id: documents that no label calls bad, once each."""
-    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_g_id")).agg(F.min("quality").alias("_g_quality")).where("_g_quality = 1").select("_g_id")
+    """_g_id: documents that no label calls bad or toxic, once each."""
+    return truth(labels).where("_l_quality = 1 and _l_toxic = 0").select(F.col("_l_id").alias("_g_id"))
+
+
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """_g_id: documents that a label calls toxic, once each."""
+    return truth(labels).where("_l_toxic > 0").select(F.col("_l_id").alias("_g_id"))
 
 
 def _held_out() -> Column:
@@ -112,9 +132,13 @@ def _held_out() -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED + 1), "_g_id"), F.lit(2)) == 1
 
 
+def _drawn(ids: DataFrame, name: str) -> DataFrame:
+    return stored(ids.where(~_held_out()).orderBy(F.xxhash64("_g_id"), "_g_id").limit(MOST_TARGET), name)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     """Log of target over raw probability by bucket: BUCKETS numbers, whatever the input's size."""
-    sample = stored(good_ids(labels).where(~_held_out()).orderBy(F.xxhash64("_g_id"), "_g_id").limit(MOST_TARGET), "target").withColumn("_g_good", F.lit(True))
+    sample = _drawn(good_ids(labels), "target").withColumn("_g_good", F.lit(True))
     marked = docs.select(F.col("doc_id").cast("long").alias("_d_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("_d_id") == F.col("_g_id"), "left")
     counted = marked.select("text", F.coalesce("_g_good", F.lit(False)).alias("good")).mapInArrow(_counter, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -126,22 +150,54 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     return smooth(target) - smooth(raw)
 
 
-def _scorer(ratio: np.ndarray, at: int, column: str):
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", BATCH_BYTES):
+        words, owner = word_hashes(*_flat(batch.column(0)))
+        order = np.lexsort((words, owner))
+        words, owner = words[order], owner[order]
+        once = np.concatenate(([True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])))[: len(words)]
+        toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)[owner[once]]
+        kinds, place = np.unique(words[once], return_inverse=True)
+        counts = [np.bincount(place[of], minlength=len(kinds)) for of in (toxic, ~toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names=["word", "toxic", "good"])
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and weights of the words that labelled toxic documents have more often than good ones: MOST_WORDS at most."""
+    sample = _drawn(toxic_ids(labels), "toxic").withColumn("_g_toxic", F.lit(True)).unionByName(_drawn(good_ids(labels), "good").withColumn("_g_toxic", F.lit(False)))
+    marked = docs.select(F.col("doc_id").cast("long").alias("_d_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("_d_id") == F.col("_g_id")).select("text", F.col("_g_toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    share = lambda c: (F.col(c) + 0.5) / F.lit(n.get(c == "toxic", 0) + 1.0)
+    counted = marked.mapInArrow(_word_counter, "word long, toxic long, good long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("good").alias("good"))
+    weighed = counted.where("toxic > 1").select("word", F.log(share("toxic") / share("good")).alias("weight")).where("weight > 0")
+    found = weighed.orderBy(F.desc("weight"), "word").limit(MOST_WORDS).collect()
+    words, weights = np.array([r["word"] for r in found], np.int64).view(np.uint64), np.array([r["weight"] for r in found], np.float64)
+    order = np.argsort(words)
+    return words[order], weights[order]
+
+
+def _scorer(ratio: np.ndarray, toxic: tuple[np.ndarray, np.ndarray], at: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, column, BATCH_BYTES):
-            buckets, owner = gram_buckets(*_flat(batch.column(at)))
+            words, of = word_hashes(*_flat(batch.column(at)))
+            heaviest = np.zeros(batch.num_rows)
+            if len(toxic[0]):
+                place = np.minimum(np.searchsorted(toxic[0], words), len(toxic[0]) - 1)
+                hit = toxic[0][place] == words
+                np.maximum.at(heaviest, of[hit], toxic[1][place[hit]])
+            buckets, owner = _grams(words, of)
             weight = np.bincount(owner, weights=ratio[buckets], minlength=batch.num_rows).astype(np.float64)
             grams = np.bincount(owner, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(grams.astype(np.int64))], names=[*batch.schema.names, "_w_log", "_w_grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(grams.astype(np.int64)), pa.array(heaviest)], names=[*batch.schema.names, "_w_log", "_w_grams", "_w_toxic"])
 
     return run
 
 
-def with_weights(docs: DataFrame, ratio: np.ndarray | None, column: str = "text") -> DataFrame:
-    """``docs`` with _w_log (log weight) and _w_grams (number of n-grams)."""
+def with_weights(docs: DataFrame, ratio: np.ndarray | None, toxic: tuple[np.ndarray, np.ndarray], column: str = "text") -> DataFrame:
+    """``docs`` with _w_log (log weight), _w_grams (number of n-grams) and _w_toxic (the heaviest word of the toxic model, else 0)."""
     docs = docs.withColumn(column, F.col(column).cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_w_log", T.DoubleType()), T.StructField("_w_grams", T.LongType())])
-    return docs.mapInArrow(_scorer(np.zeros(BUCKETS) if ratio is None else ratio, docs.columns.index(column), column), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_w_log", T.DoubleType()), T.StructField("_w_grams", T.LongType()), T.StructField("_w_toxic", T.DoubleType())])
+    return docs.mapInArrow(_scorer(np.zeros(BUCKETS) if ratio is None else ratio, toxic, docs.columns.index(column), column), schema)
 
 
 def noisy(seed: int = SEED) -> Column:
@@ -155,10 +211,12 @@ def noisy_mean() -> Column:
     return noisy() / (F.col("_w_grams") + F.lit(SHRINK))
 
 
-def level_for(scored: DataFrame, labels: DataFrame, miss: float = MISS) -> float | None:
-    """The noisy mean that all but a share ``miss`` of the held-out good documents reach: their least, if they are too few to show it."""
-    good = scored.select(F.col("doc_id").cast("long").alias("_d_id"), noisy_mean().alias("noisy")).join(good_ids(labels).where(_held_out()), F.col("_d_id") == F.col("_g_id"), "left_semi")
-    return good.agg(F.percentile_approx("noisy", F.lit(miss), F.lit(100_000))).first()[0]
+def levels_for(scored: DataFrame, labels: DataFrame, miss: float = MISS) -> tuple[float | None, float | None]:
+    """The noisy mean that all but a share ``miss`` of the held-out good documents reach, and the toxic weight that all
+    but such a share stay within: their least and most, if they are too few to show it."""
+    good = scored.select(F.col("doc_id").cast("long").alias("_d_id"), noisy_mean().alias("noisy"), "_w_toxic").join(good_ids(labels).where(_held_out()), F.col("_d_id") == F.col("_g_id"), "left_semi")
+    r = good.agg(F.percentile_approx("noisy", F.lit(miss), F.lit(100_000)), F.percentile_approx("_w_toxic", F.lit(1 - miss), F.lit(100_000))).first()
+    return r[0], r[1]
 
 
 def level_for_k(scored: DataFrame, k: int, bits: int = 12) -> float:
@@ -184,16 +242,24 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     """doc_id, n_grams, log_weight, noisy_weight, kept."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ratio = fit(narrow, labels)
-    scored = stored(with_weights(narrow, ratio).drop("text"), "weights")
-    level = level_for(scored, labels) if k is None else level_for_k(scored, k)
-    kept = F.lit(True) if ratio is None or level is None else (noisy_mean() if k is None else noisy()) >= F.lit(level)
+    scored = stored(with_weights(narrow, ratio, fit_toxic(narrow, labels)).drop("text"), "weights")
+    if k is not None:
+        kept = F.lit(True) if ratio is None else noisy() >= F.lit(level_for_k(scored, k))
+    else:
+        level, most = levels_for(scored, labels)
+        kept = F.lit(True) if ratio is None or level is None else _fine(level, most)
     return scored.select("doc_id", F.col("_w_grams").alias("n_grams"), F.round("_w_log", 6).alias("log_weight"), F.round(noisy(), 6).alias("noisy_weight"), kept.alias("kept"))
 
 
+def _fine(level: float, most: float) -> Column:
+    return (noisy_mean() >= F.lit(level)) & (F.col("_w_toxic") <= F.lit(most))
+
+
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are sampled, with their own columns."""
     ratio = fit(docs, labels)
     if ratio is None:
         return docs
-    level = level_for(with_weights(docs.select("doc_id", "text"), ratio).drop("text"), labels)  # no text is shuffled to meet its label
-    return docs if level is None else with_weights(docs, ratio).where(noisy_mean() >= F.lit(level)).select(*docs.columns)
+    toxic = fit_toxic(docs, labels)
+    level, most = levels_for(with_weights(docs.select("doc_id", "text"), ratio, toxic).drop("text"), labels)  # no text is shuffled to meet its label
+    return docs if level is None else with_weights(docs, ratio, toxic).where(_fine(level, most)).select(*docs.columns)

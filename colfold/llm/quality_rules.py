@@ -9,7 +9,7 @@ such a gain stays off.
 
 Edge cases: a null or empty text has no words and fails the base rule. Without labels, or with too few, no
 rule beyond the base is on. A null stratum is a stratum of its own. Repeated rows are judged one by one; a
-document labelled more than once counts once, as bad if any label says so. Extra columns pass through.
+document labelled more than once counts once, as bad if any label says so or calls it toxic. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colfold.llm.common import small_batches, stored, utf8_texts
+from colfold.llm.common import small_batches, stored, truth, utf8_texts
 
 SYMBOLS = b"#*$%&|<>"
 BATCH_BYTES = 8 << 20
@@ -140,12 +140,12 @@ def choose_cutoffs(counts: dict[tuple[str, str], tuple[list[int], list[int]]], r
 
 def calibrate(featured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule) from all labelled documents; what is collected is one row per stratum, rule, label and cutoff."""
-    truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_l_id")).agg(F.min("quality").alias("_l_quality"))
+    known = truth(labels).where("_l_quality is not null or _l_toxic > 0").select("_l_id", F.expr("if(_l_toxic > 0, 0, _l_quality)").alias("_l_quality"))
     exceeded = F.array(*[F.struct(F.lit(name).alias("rule"), sum(((value > c).cast("int") for c in RULES[name]), F.lit(0)).alias("step")) for name, value in ratios().items()])
     rows = (
         featured.where(~base_failed())
         .select(F.col("doc_id").cast("long").alias("_d_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), exceeded.alias("e"))
-        .join(truth, F.col("_d_id") == F.col("_l_id"))
+        .join(known, F.col("_d_id") == F.col("_l_id"))
         .select("stratum", "_l_quality", F.explode("e").alias("e"))
         .groupBy("stratum", "_l_quality", "e.rule", "e.step")
         .count()

@@ -402,4 +402,17 @@ def test_classifier_rejects_bad_documents_of_every_length(spark, sf):
     bad = [r for r in got if r["quality"] == 0]
     short, good = [r for r in bad if r["n_grams"] < 400], [r for r in got if r["quality"] == 1 and r["toxic"] == 0]
     print(f"sf{sf}: rejected bad {share(bad):.3f} of {len(bad)}, short bad {share(short):.3f} of {len(short)}, good {share(good):.4f} of {len(good)}")
-    assert share(bad) > 0.6 and share(short) > 0.6 and share(good) < 0.01
+    assert share(bad) > 0.6 and share(short) > 0.5 and share(good) < 0.01
+
+
+def test_toxic_documents_are_rejected(spark):
+    """Held-out documents that differ from good ones by a word that only labelled toxic documents have."""
+    rng = random.Random(13)
+    prose = lambda: [rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(40)]
+    texts = [" ".join(prose()) for _ in range(300)] + [" ".join([*prose()[:20], rng.choice(["scum", "idiot"]), *prose()]) for _ in range(100)]
+    docs = make(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i >= 300)) for i in range(0, 400, 2)], LABELS)
+    got = {r["doc_id"]: r["kept"] for r in rows(quality_classifier.resample(docs, labels))}
+    assert not any(got[i] for i in range(300, 400)) and sum(got[i] for i in range(300)) >= 295
+    assert {r["doc_id"] for r in rows(quality_classifier.keep(docs, labels))} == {i for i in got if got[i]}
+    assert rows(quality_classifier.good_ids(spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, 0), (3, 1, 1), (4, 1, None), (5, None, 1)], LABELS)).orderBy("_g_id")) == [{"_g_id": 1}, {"_g_id": 4}]
