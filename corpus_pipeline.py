@@ -24,12 +24,18 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their five-word shingles the one with the smallest doc_id stays (one row of it, if it is repeated)."""
-    groups = simhash_near_dedup.similar_groups(docs)
-    stay = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    """Of each group of documents that share 0.8 of their five-word shingles the row with the smallest doc_id stays, null ids last.
+
+    Repeated or null ids do not make rows alike: rows then get numbers of their own, which are grouped."""
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    if ids["n"] == ids["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        stay = simhash_near_dedup.similar_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stay"))
+        return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = simhash_near_dedup.similar_groups(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

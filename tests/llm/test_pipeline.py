@@ -67,3 +67,15 @@ def test_repeated_word_windows(spark):
         want = {(row, i) for row, t in enumerate(texts) for w in [t.split()] for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1}
         got = {(r["row"], i) for r in suffix_dedup.repeats(docs, length, gram, most, words=True).collect() for i in range(r["first"], r["last"] + 1)}
         assert got == want
+
+
+def test_repeated_and_null_ids_keep_different_texts(spark, tmp_path):
+    """Only near copies go, whatever the ids; of them the row with the smallest id stays, null last."""
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    own, a, b = [prose() for _ in range(12)], prose(), prose()
+    rows = [(7, t) for t in own[:4]] + [(None, t) for t in own[4:8]] + list(zip(range(20, 24), own[8:], strict=True))
+    rows += [(None, a), (31, f"{a} more"), (30, a), (7, b), (7, b), (5, f"{b} more")]
+    docs = spark.createDataFrame([(i, t, "en", str(at), len(t)) for at, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and {int(r["source"]) for r in left.collect()} == {*range(12), 14, 17}
