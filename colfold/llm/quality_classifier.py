@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from colfold.llm.common import small_batches, stored, truth
 
 BUCKETS = 1 << 14
-BATCH_BYTES = 4 << 20
+#: Bytes of text that a task hashes at once.
+BATCH_BYTES = 1 << 19
 MOST_TARGET = 50_000
 #: Words of the toxic model, each in two labelled toxic documents at least.
 MOST_WORDS = 10_000
@@ -78,10 +79,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     end = np.flatnonzero(inside & (first[1:] | np.concatenate((blank[1:], [True])))) + 1
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power, inverse = _powers(n + 1)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-    words = _mixed((prefix[end] - prefix[begin]) * inverse[begin])
+    words, at = np.zeros(len(begin), dtype=np.uint64), 0
+    while at < len(begin):  # a part of the text at a time, of whole words
+        low = int(begin[at])
+        to = max(at + 1, int(np.searchsorted(end, low + BATCH_BYTES, side="right")))
+        part = data[low : end[to - 1]]
+        power, inverse = _powers(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, dtype=np.uint64)
+        prefix[1:] = part
+        prefix[1:] += np.uint64(1)
+        prefix[1:] *= power[: len(part)]
+        np.cumsum(prefix, out=prefix)
+        words[at:to] = _mixed((prefix[end[at:to] - low] - prefix[begin[at:to] - low]) * inverse[begin[at:to] - low])
+        at = to
     return words, np.searchsorted(starts, begin, side="right") - 1
 
 

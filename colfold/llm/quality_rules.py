@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from colfold.llm.common import small_batches, stored, truth, utf8_texts
 
 SYMBOLS = b"#*$%&|<>"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 #: Share of good documents of a stratum that all rules together may reject, and the chance that this fails.
 RISK, DELTA = 0.05, 0.05
 #: Bad documents that one wrongly rejected good document outweighs.

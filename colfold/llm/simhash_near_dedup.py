@@ -25,6 +25,7 @@ ignored. A null doc_id is no component's smallest unless all are null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -42,7 +43,9 @@ SHINGLE = 3
 SEGMENTS = 32
 GROUPS = 6
 MOST = 64
-BATCH_BYTES = 2 << 20
+#: Bytes of text in a batch, and bytes of one long text that are worked on at once.
+BATCH_BYTES = 1 << 19
+PART = 1 << 18
 SIMILAR_SHINGLE = 5
 #: Bands, minimal hashes in each, and members of a band that are still paired.
 BANDS, ROWS = 20, 5
@@ -51,48 +54,46 @@ MOST_BAND = 32
 HUBS = 2
 SIZE_STEP = 1.05
 _EVEN = 0x5555555555555555
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
-def shingle_hashes(text: bytes, n: int = SHINGLE) -> list[int]:
-    """XXH64 (seed 42) of every shingle of ``n`` words, repeats included; ASCII letters are lower-cased."""
-    words = text.lower().split()
-    if not words:
-        return []
+def shingle_hashes(text: bytes, n: int = SHINGLE) -> Iterator[list[int]]:
+    """XXH64 (seed 42) of every shingle of ``n`` words, repeats included, those of about PART bytes at a time; ASCII letters are lower-cased."""
+    words, at, whole = [], 0, True
+    while at < len(text):
+        cut = _BLANK.search(text, at + PART)
+        stop = cut.end() if cut else len(text)
+        words += text[at:stop].lower().split()
+        at = stop
+        if len(words) >= n:
+            yield _hashed(words, n)
+            words, whole = words[len(words) - n + 1 :], False
+    if words and whole:
+        yield [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+
+
+def _hashed(words: list[bytes], n: int) -> list[int]:
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return [digest(joined, 42)]
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     return [digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[n:], strict=False)]
 
 
 def fingerprints(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """A bit is 1 if it is set in over half of a text's hashes."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
+    out = np.zeros((len(texts), 8), dtype=np.uint8)
     for i, text in enumerate(texts):
-        own = shingle_hashes(text, n)
-        counts[i] = len(own)
-        hashes += own
-    out = np.zeros(len(texts), dtype=np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        ends = np.cumsum(counts)
-        bytes_ = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        block = 1 << 18
-        sums = np.zeros((len(texts), 64), dtype=np.int64)
-        for at in range(0, len(hashes), block):
-            bits = np.unpackbits(bytes_[at : at + block], axis=1, bitorder="little")
-            first = int(np.searchsorted(ends, at, side="right"))
-            some = full[(full >= first) & (ends[full] - counts[full] < at + block)]
-            sums[some] += np.add.reduceat(bits, np.maximum(ends[some] - counts[some] - at, 0), axis=0, dtype=np.int64)
-        ones = 2 * sums > counts[:, None]
-        out = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        ones, total = np.zeros(64, dtype=np.int64), 0
+        for hashes in shingle_hashes(text, n):
+            bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+            total += len(hashes)
+        out[i] = np.packbits(2 * ones > total, bitorder="little")
+    return out.view("<u8").ravel()
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Distinct shingle hashes, sorted."""
-    return np.unique(np.array(shingle_hashes(text, n), dtype=np.uint64))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.array(x, dtype=np.uint64) for x in shingle_hashes(text, n))]))
 
 
 def _set_key(hashes: np.ndarray) -> int:

@@ -49,14 +49,17 @@ WORD_GRAM = 8
 #: Distinct stretches of one anchor in a block, and windows in a stretch once a crowded one is cut.
 MOST = 1000
 CUTS = (16, 1)
+#: Keys at most that stand in more than a share 1 / HOT_KEYS of all stretches (and MOST of them): those are broadcast.
+HOT_KEYS = 4096
 #: Bytes of a block.
 BLOCK = 1 << 19
 #: Ranks after a boundary in which its extensions are looked for first.
 NEAR = 8
 MOST_PARTITIONS = 20_000
-BATCH_BYTES = 2 << 20
-#: Windows of a long text that are worked on at once; bits for places in the order of grams.
-SEGMENT = 1 << 22
+#: Bytes of text that a task works on at once, and windows of a long text; some 120 bytes of arrays stand for each.
+BATCH_BYTES = 1 << 18
+#: Bits for places in the order of grams.
+SEGMENT = 1 << 18
 PLACE_BITS = np.uint64(31)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -79,9 +82,12 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _BASES[0]
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(32))
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    h *= _BASES[0]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 class Hashes:
@@ -89,15 +95,21 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         self.prefix = []
-        wide = data.astype(np.uint64) + np.uint64(1)
         for which in (0, 1):
             p = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(wide * _powers(which, len(data) + 1)[0][: len(data)], out=p[1:])
+            p[1:] = data
+            p[1:] += np.uint64(1)
+            p[1:] *= _powers(which, len(data) + 1)[0][: len(data)]
+            np.cumsum(p, out=p)
             self.prefix.append(p)
 
     def of(self, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
         p = self.prefix[which]
-        return _mixed((p[end] - p[begin]) * _powers(which, len(p))[1][begin] + (end - begin).astype(np.uint64))
+        h = p[end]
+        h -= p[begin]
+        h *= _powers(which, len(p))[1][begin]
+        h += (end - begin).astype(np.uint64)
+        return _mixed(h)
 
 
 def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +130,13 @@ def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
         return [np.zeros(0, np.uint64) for _ in texts]
     ends = np.cumsum(sizes)
     begin, end = word_bounds(data, ends - sizes)
-    return np.split(Hashes(data).of(begin, end, 1), np.searchsorted(begin, ends[:-1]))
+    words, at = np.zeros(len(begin), np.uint64), 0
+    while at < len(begin):  # a part of the text at a time, of whole words
+        low = int(begin[at])
+        to = max(at + 1, int(np.searchsorted(end, low + SEGMENT, side="right")))
+        words[at:to] = Hashes(data[low : end[to - 1]]).of(begin[at:to] - low, end[at:to] - low, 1)
+        at = to
+    return np.split(words, np.searchsorted(begin, ends[:-1]))
 
 
 def _symbols(texts: list[bytes], words: bool) -> list[np.ndarray]:
@@ -131,14 +149,21 @@ def _kind(words: bool) -> type:
 
 def stretches(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of every stretch: text, first window, number of windows, the anchor's place in it, and hashes of its anchor and of all of it."""
-    owner_of, offset_of, pieces = [], [], []
-    for i, text in enumerate(texts):  # windows of a long text are worked on a segment at a time
-        for at in range(0, max(0, len(text) - length + 1), SEGMENT):
-            owner_of.append(i)
-            offset_of.append(at)
-            pieces.append(text[at : at + SEGMENT + length - 1])
-    if not pieces:
-        return (np.zeros(0, np.int64),) * 6
+    out, some, held = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - length + 1), SEGMENT):  # windows of a long text are worked on a segment at a time
+            some.append((i, at, text[at : at + SEGMENT + length - 1]))
+            held += len(some[-1][2])
+            if held >= SEGMENT:
+                out.append(_stretches(*zip(*some, strict=True), length, gram))
+                some, held = [], 0
+    if some:
+        out.append(_stretches(*zip(*some, strict=True), length, gram))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
+
+
+def _stretches(owner_of: tuple[int, ...], offset_of: tuple[int, ...], pieces: tuple[np.ndarray, ...], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Stretches of pieces of texts, each with its text's number and its offset there."""
     sizes = np.array([len(x) for x in pieces], dtype=np.int64)
     data = np.concatenate(pieces)
     starts = np.cumsum(sizes) - sizes
@@ -330,7 +355,7 @@ def _cutter(length: int, windows: int, kind: type):
     """Cuts stretches, at places fixed by the anchor, into pieces of ``windows`` windows keyed by the symbols that these windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "body", BATCH_BYTES // 4):
+        for batch in small_batches(batches, "body", BATCH_BYTES):
             out = []
             for row, first, count, at, anchor, alone, _, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 symbols = np.frombuffer(body, dtype=kind)
@@ -368,7 +393,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     wanted = distinct.join(crowd, "anchor").select("one.*", F.struct("one.first", "one.windows", "one.at", "anchor", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many")).alias("w"))
     per_row = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
     bodies = stored(docs.join(per_row, "row").select("row", "text", "wanted").mapInArrow(_slicer(length, words), _schema(*BODY)), "bodies")
-    equal = found.join(distinct.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
+    equal = _shared(found, distinct, most)
     runs = [equal.select("row", "first", _last()), _expanded(bodies.where("not many"), length, kind)]
     left = bodies.where("many")
     for windows in (min(c, length) for c in CUTS):
@@ -376,7 +401,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
             break
         pieces = stored(left.select(*BODY).mapInArrow(_cutter(length, windows, kind), _schema(*PIECE)), "pieces")
         kinds = stored(pieces.groupBy("anchor", "whole").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"), F.min(F.struct("row", "first")).alias("one")), "kinds")
-        equal = pieces.where("alone").join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
+        equal = _shared(pieces.where("alone"), kinds, most)
         runs.append(equal.select("row", "first", _last()))
         if windows == 1:
             break
@@ -391,6 +416,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     return every
 
 
+def _shared(rows: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
+    """Rows whose anchor and whole stand in several rows. The few that stand in very many never meet in one task."""
+    keys = ["anchor", "whole"]
+    limit = max(most, (kinds.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    shared, hot = kinds.where("n > 1"), kinds.where(F.col("n") > limit).select(*keys)
+    if hot.isEmpty():
+        return rows.join(shared.select(*keys), keys, "left_semi")
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(shared.where(F.col("n") <= limit).select(*keys), keys, "left_semi")
+    return rest.unionByName(rows.join(F.broadcast(hot), keys, "left_semi"))
+
+
 def _last():
     return (F.col("first") + F.col("windows") - 1).alias("last")
 
@@ -411,72 +447,91 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _remover(length: int, digest: bool):
+def _spans(text: bytes, runs: list[dict], length: int, words: int) -> list[tuple[int, int]]:
+    """Maximal byte spans that runs of windows of bytes or of words cover."""
+    spans = removed_spans([(r["first"], r["last"]) for r in runs if not r["words"]], length)
+    if by_word := removed_spans([(r["first"], r["last"]) for r in runs if r["words"]], words):
+        begin, end = word_bounds(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64))
+        spans = removed_spans([*spans, *((int(begin[a]), int(end[b - 1])) for a, b in by_word)], 0)
+    return spans
+
+
+REMOVED = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, n_kept long, repeats boolean, stripped string"
+_REMOVED = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("n_kept", pa.int64()), ("repeats", pa.bool_()), ("stripped", pa.string()))
+
+
+def _remover(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
             rows = []
             for text, runs in zip(utf8_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                spans = removed_spans([(r["first"], r["last"]) for r in runs or ()], length)
-                kept = _kept(text, spans) if spans else text
-                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
+                runs = runs or []
+                spans = removed_spans([(r["first"], r["last"]) for r in runs if not r["words"]], length)
+                kept = _kept(text, spans)
+                stripped = _kept(text, _spans(text, runs, length, words))
+                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), len(kept), bool(runs), stripped.decode("utf-8", "ignore")))
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _REMOVED, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *(n for n, _ in _REMOVED)])
 
     return run
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, digest: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, and kept_sha256, or the text ``kept`` without ``digest``.
+def _runs_by_row(rows: DataFrame, length: int, gram: int, most: int, words: int) -> DataFrame:
+    """row, runs: of windows of ``length`` bytes and, if ``words`` is not 0, of so many words."""
+    runs = repeats(rows, length, gram, most).withColumn("words", F.lit(False))
+    if words:
+        runs = runs.unionByName(repeats(rows, words, min(WORD_GRAM, words), most, words=True).withColumn("words", F.lit(True)))
+    return runs.groupBy("row").agg(F.collect_list(F.struct("first", "last", "words")).alias("runs"))
+
 
-    Where a removed span cuts a character, the rest of that character is left out of the text."""
+def _ids_are_keys(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own; else rows get numbers, in a written table."""
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    return ids["n"] == ids["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left), n_kept (its bytes), and of what ``strip`` does with
+    ``words``: repeats (something is taken out) and stripped (the text that it leaves).
+
+    Where a removed span cuts a character, the rest of that character is left out of a text."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    ids = given.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    key = ids["n"] == ids["ids"] and given.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if not key:  # repeated or null ids: rows get numbers of their own, in a written table
+    key = _ids_are_keys(given)
+    if not key:
         given = stored(given.withColumn("row", F.monotonically_increasing_id()), "rows")
     rows = given.select((F.col("doc_id") if key else F.col("row")).alias("row"), "text")
-    per_row = repeats(rows, length, gram, most).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    name = "kept_sha256" if digest else "kept"
-    out = rows.join(per_row, "row", "left").select("row", "text", "runs").mapInArrow(_remover(length, digest), f"row long, n_bytes long, n_removed long, n_spans long, {name} string")
+    per_row = _runs_by_row(rows, length, gram, most, words)
+    out = rows.join(per_row, "row", "left").select("row", "text", "runs").mapInArrow(_remover(length, words), REMOVED)
     if key:
         return out.withColumnRenamed("row", "doc_id")
-    return out.join(given.select("row", "doc_id"), "row").select("doc_id", "n_bytes", "n_removed", "n_spans", name)
+    return out.join(given.select("row", "doc_id"), "row").select("doc_id", *(n for n, _ in _REMOVED))
 
 
-def _stripped(text: bytes, runs: list[dict], length: int, words: int) -> bytes:
-    """``text`` without the bytes that runs of windows of bytes or of words cover."""
-    spans = removed_spans([(r["first"], r["last"]) for r in runs if not r["words"]], length)
-    if by_word := removed_spans([(r["first"], r["last"]) for r in runs if r["words"]], words):
-        begin, end = word_bounds(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64))
-        spans = removed_spans([*spans, *((int(begin[a]), int(end[b - 1])) for a, b in by_word)], 0)
-    return _kept(text, spans)
-
-
-def _stripper(length: int, words: int, column: str):
+def _stripper(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, column, BATCH_BYTES):
-            at = batch.schema.get_field_index(column)
-            texts = batch.column(at).to_pylist()
-            for i, runs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            texts = batch.column(0).to_pylist()
+            for i, runs in enumerate(batch.column(1).to_pylist()):
                 if runs:
-                    texts[i] = _stripped(texts[i].encode(), runs, length, words).decode("utf-8", "ignore")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(batch.schema.names[:-1])
+                    text = texts[i].encode()
+                    texts[i] = _kept(text, _spans(text, runs, length, words)).decode("utf-8", "ignore")
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
 
     return run
 
 
 def strip(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` with their columns, passages of ``length`` bytes or of ``words`` words that start elsewhere
-    too taken out of ``text``; a null text stays null.
+    too taken out of ``text``; a null text stays null. Columns may have any names.
 
     Where a removed span cuts a character, the rest of that character is left out.
     """
-    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    key = ids["n"] == ids["ids"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = docs.withColumn("_row", F.col("doc_id").cast("long")) if key else stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    given = rows.select(F.col("_row").alias("row"), text_column(rows).alias("text"))
-    runs = repeats(given, length).withColumn("words", F.lit(False)).unionByName(repeats(given, words, min(WORD_GRAM, words), words=True).withColumn("words", F.lit(True)))
-    per_row = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last", "words")).alias("_runs"))
-    columns = [F.col(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns]
-    joined = rows.join(per_row, rows["_row"] == per_row["row"], "left").select(*columns, "_runs")
-    return joined.mapInArrow(_stripper(length, words, "text"), joined.drop("_runs").schema)
+    names = docs.columns
+    own, text = docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index('text')}"
+    key = _ids_are_keys(docs)
+    rows = own.withColumn("row", F.col(f"c{names.index('doc_id')}").cast("long")) if key else stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    given = rows.select("row", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    per_row = _runs_by_row(given, length, GRAM, MOST, words)
+    joined = rows.join(per_row, "row", "left").select(F.col(text).cast("string").alias("text"), "runs", *(c for c in own.columns if c != text))
+    done = joined.mapInArrow(_stripper(length, words), joined.drop("runs").schema)
+    return done.select(*(F.col("text" if c == text else c).alias(n) for c, n in zip(own.columns, names, strict=True)))
