@@ -18,15 +18,21 @@ def as_double(column: Column, kind: T.DataType) -> Column:
 
 
 def fraction_digits(value: Column) -> Column:
-    """The least s up to MOST_SCALE with round(value, s) = value, else MOST_SCALE + 1."""
+    """The least s up to MOST_SCALE with round(value, s) = value, else MOST_SCALE + 1.
+
+    Doubles tell it while the units can be counted in one (below 2^53), decimals beyond."""
     out = F.lit(MOST_SCALE + 1)
     for s in range(MOST_SCALE, -1, -1):
-        out = F.when(F.round(value, s) == value, s).otherwise(out)
+        units = F.abs(value) * F.lit(float(10**s))
+        same = F.when(units < F.lit(float(1 << 53)), F.floor(units + 0.5) / F.lit(float(10**s)) == F.abs(value)).otherwise(F.round(value, s) == value)
+        out = F.when(same, s).otherwise(out)
     return out
 
 
 def integer_digits(value: Column) -> Column:
-    whole = F.floor(F.abs(value).cast("decimal(38,0)"))
+    """Digits before the point; the fraction goes first, so that 999.9 has three."""
+    size = F.abs(value)
+    whole = F.when(size < F.lit(float(1 << 53)), F.floor(size).cast("decimal(38,0)")).otherwise(size.cast("decimal(38,0)"))
     return F.length(whole.cast("string"))
 
 
