@@ -17,8 +17,9 @@ from colfold.operators.drill import numeric_candidates, temporal_candidates, wan
 from colfold.operators.fold import Fold, fold_frame, new_fold, unfold_frame
 from colfold.operators.profile import MOST_SCALE, profile
 from colfold.plans.sqlfront import query, where_folded
-from colfold.sources.readers import read, session, suffix
+from colfold.sources.readers import head_sample, read, session, suffix
 from colfold.sources.store import metadata, read_folded, write
+from colfold.sources.workdir import folder_bytes, new_path
 from colfold.types import category, is_fractional, quoted
 
 __all__ = ["benchmark", "from_format", "functions_to_json", "generate_schema", "get_functions_from_json", "get_metadata_from_file", "query", "to_format", "train", "where_folded"]
@@ -69,8 +70,8 @@ def _foldable(df: DataFrame, functions: list[dict], known: list[dict], types: li
 def fold(data: Any, functions: list[dict] | None = None, schema: Any = None, nrows: int | None = None, model_types: Any = DEFAULT_TYPES, prefix: str | None = None) -> tuple[DataFrame, list[Fold], DataFrame, list[dict]]:
     """The stored frame, its folds, the original frame and its profile."""
     df = read(data, nrows)
-    known = _schema(schema) or profile(df)
-    _dump(prefix, data, "schema", known)
+    # scales come from a sample: rows with more digits become outliers; the pass that finds constants counts the nulls of all rows
+    known = _schema(schema) or profile(head_sample(df))
     types = None if model_types is None else list(model_types)
     if functions is None:
         functions = train(df, model_types=types, prefix=None)
@@ -81,11 +82,13 @@ def fold(data: Any, functions: list[dict] | None = None, schema: Any = None, nro
     layout = optimize(candidates)
     _dump(prefix, data, "layout", layout)
     folds = [new_fold(df, e["target-name"], e["model-type"], e[e["model-type"]], scales[e["target-name"]] if category(df.schema[e["target-name"]].dataType) == "num" else 0) for e in layout["greedy"]["chosen"]]
-    return fold_frame(df, folds), folds, df, known
+    stored = fold_frame(df, folds, known)
+    _dump(prefix, data, "schema", known)
+    return stored, folds, df, known
 
 
-def to_format(data: Any, format_path: str, functions: list[dict] | None = None, schema: Any = None, nrows: int | None = None, model_types: Any = DEFAULT_TYPES, prefix: str | None = None) -> list[Fold]:
-    """Profile, search, choose and write ``data`` folded, as Parquet or CSV. Returns the folds."""
+def to_format(data: Any, format_path: str, functions: list[dict] | None = None, schema: Any = None, nrows: int | None = None, model_types: Any = DEFAULT_TYPES, prefix: str | None = None, enforce_base: str | None = None) -> list[Fold]:
+    """Profile, search, choose and write ``data`` folded, as Parquet or CSV. Returns the folds. ``enforce_base`` names a Parquet folder for the plain table."""
     kind = suffix(format_path)
     if kind not in ("parquet", "csv", "btrblocks"):
         raise ValueError(f"unsupported format: {kind}")
@@ -93,6 +96,8 @@ def to_format(data: Any, format_path: str, functions: list[dict] | None = None,
         raise NotImplementedError("BtrBlocks needs an external encoder; write Parquet or CSV")
     stored, folds, df, known = fold(data, functions, schema, nrows, model_types, prefix)
     write(stored, str(format_path), folds, df.schema, known)
+    if enforce_base is not None:
+        df.write.mode("overwrite").option("compression", "snappy").parquet(str(enforce_base))
     return folds
 
 
@@ -135,17 +140,22 @@ def column_sums(df: DataFrame) -> DataFrame:
     return df.agg(*[F.sum(F.col(quoted(f.name))).alias(f.name) for f in df.schema.fields if category(f.dataType) == "num"])
 
 
+def _written_bytes(df: DataFrame) -> int:
+    """Bytes of a frame as a folder of Snappy Parquet files in the shared folder."""
+    path = new_path(df.sparkSession, "size")
+    df.write.option("compression", "snappy").parquet(path)
+    return folder_bytes(df.sparkSession, path)
+
+
 def benchmark(bench_type: str, data: Any, schema: Any = None, layout: Any = None, optimize_layout: bool = True, nrows: int | None = None, runs: int = 10, rows: int = 1_000_000) -> dict[str, Any]:
     """size: bytes of plain and folded Snappy Parquet; latency: mean milliseconds of each column's sum, after a warm-up, on replicated rows."""
-    from colfold.operators.choose import parquet_bytes
-
     stored, folds, df, _ = fold(data, layout, schema, nrows)
     if bench_type == "size":
-        return {"base": parquet_bytes(df.toArrow()), "virtual": parquet_bytes(stored.toArrow())}
+        return {"base": _written_bytes(df), "folded": _written_bytes(stored)}
     if bench_type != "latency":
         raise ValueError(f"unknown benchmark: {bench_type}")
     times = -(-rows // max(1, df.count()))
     wide = lambda d: d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy").limit(rows).cache()
     plain, small = wide(df), wide(stored)
     view = unfold_frame(small, folds, df.schema)
-    return {f.name: {"base": 1e3 * _seconds(lambda c=f.name: plain.agg(F.sum(quoted(c))).collect(), runs), "virtual": 1e3 * _seconds(lambda c=f.name: view.agg(F.sum(quoted(c))).collect(), runs)} for f in df.schema.fields if category(f.dataType) == "num"}
+    return {f.name: {"base": 1e3 * _seconds(lambda c=f.name: plain.agg(F.sum(quoted(c))).collect(), runs), "folded": 1e3 * _seconds(lambda c=f.name: view.agg(F.sum(quoted(c))).collect(), runs)} for f in df.schema.fields if category(f.dataType) == "num"}

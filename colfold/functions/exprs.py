@@ -35,6 +35,10 @@ def references(model: dict[str, Any]) -> list[str]:
     return list(dict.fromkeys(c["col-name"] for m in members(model) for c in m["coeffs"] if tidy(c["coeff"])))
 
 
+def _is_long(x: float) -> bool:
+    return x.is_integer() and -(2.0**63) <= x < 2.0**63
+
+
 def _literal(value: float, whole: bool) -> Column:
     return F.lit(int(value)).cast("long") if whole else F.lit(value)
 
@@ -53,25 +57,29 @@ class Target:
         return "int" if self.category == "date" else "long"
 
     def line(self, member: dict[str, Any]) -> Column:
-        """Intercept plus weighted references: in integers where all parts are, else in doubles; null on overflow."""
+        """Intercept plus weighted references: in integers where all parts are (null on overflow), else in doubles, which
+        are rounded where the target is an integer."""
         if self.temporal:
             return F.col(quoted(member["coeffs"][0]["col-name"]))
         parts = [(tidy(c["coeff"]), c["col-name"]) for c in member["coeffs"] if tidy(c["coeff"])]
         intercept = tidy(member["intercept"])
-        whole = is_integer(self.kind) and intercept.is_integer() and all(c.is_integer() and is_integer(self.schema[r].dataType) for c, r in parts)
+        whole = is_integer(self.kind) and _is_long(intercept) and all(_is_long(c) and is_integer(self.schema[r].dataType) for c, r in parts)
         terms = []
         for c, r in parts:
             ref = F.col(quoted(r)).cast("long") if whole else as_double(F.col(quoted(r)), self.schema[r].dataType)
             terms.append(ref if c == 1 else F.try_multiply(ref, _literal(c, whole)) if whole else ref * _literal(c, whole))
         if intercept or not terms:
             terms.append(_literal(intercept, whole))
-        return reduce(F.try_add if whole else lambda a, b: a + b, terms)
+        out = reduce(F.try_add if whole else lambda a, b: a + b, terms)
+        return F.floor(out + 0.5) if is_integer(self.kind) and not whole else out
 
     def units(self, line: Column) -> Column:
         """A line's value as the whole number of units that the target counts in."""
         if self.temporal:
             return line
-        return F.round(line.cast("double") * F.lit(float(10**self.scale)) if self.scale else line, 0).try_cast("long")
+        if is_integer(self.kind):
+            return line
+        return F.floor(line.cast("double") * F.lit(float(10**self.scale)) + 0.5)
 
     def value_units(self) -> Column:
         """The target's own value in units."""

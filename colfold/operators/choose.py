@@ -25,7 +25,7 @@ def parquet_bytes(table) -> int:
 
 
 def estimate(df: DataFrame, candidates: list[dict[str, Any]], scales: dict[str, int] | None = None, sample: int = SAMPLE) -> list[dict[str, Any]]:
-    """Adds ``sizes`` (base and virtual bytes) for every model. A bounded sample, laid out once, is measured column by column."""
+    """Adds ``sizes`` (base and folded bytes) for every model. A bounded sample, laid out once, is measured column by column."""
     folds = [(c, name, new_fold(df, c["target-name"], name, model, (scales or {}).get(c["target-name"], 0))) for c in candidates for name, model in c["models"].items()]
     if not folds:
         return candidates
@@ -41,7 +41,7 @@ def estimate(df: DataFrame, candidates: list[dict[str, Any]], scales: dict[str,
         stored = [n for n in f.aux.values() if n in table.column_names and len(table[n].unique()) > 1]
         import pyarrow as pa
 
-        c.setdefault("sizes", {})[name] = {"base": base[target], "virtual": parquet_bytes(table.select(stored) if stored else pa.table({"dummy_column": [1] * len(table)}))}
+        c.setdefault("sizes", {})[name] = {"base": base[target], "folded": parquet_bytes(table.select(stored) if stored else pa.table({"dummy_column": [1] * len(table)}))}
     return candidates
 
 
@@ -51,7 +51,7 @@ def hyperedges(candidates: list[dict[str, Any]]) -> list[dict[str, Any]]:
     for c in candidates:
         for name, model in c["models"].items():
             size = c["sizes"][name]
-            gain = size["base"] - size["virtual"]
+            gain = size["base"] - size["folded"]
             if gain > 0:
                 refs = {r["col-name"]: r["col-index"] for m in model.get("config", [model]) for r in m["coeffs"]}
                 left = [refs[r] for r in references(model)]

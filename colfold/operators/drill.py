@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import permutations
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from colfold.sources.readers import repeatable_sample
 from colfold.types import classify
@@ -122,6 +124,8 @@ def numeric_candidates(df: DataFrame, sample_size: int = 10_000, model_types: li
                 name = f"{len(lines)}-regression"
                 if len(lines) > 1 and error <= MAX_ERROR and error < models.get(name, {"mse": float("inf")})["mse"]:
                     models[name] = {"mse": error, "config": [_linear(c, b, refs) for c, b in lines]}
+                if error < GOOD_ERROR:  # more lines gain nothing
+                    break
         if models:
             stats = {"mean": float(y.mean()), "max": float(y.max()), "min": float(y.min())}
             out.append({"category": "num", "target-index": index[target], "target-name": target, "target-stats": stats, "models": models})
@@ -142,7 +146,7 @@ def temporal_candidates(df: DataFrame) -> list[dict[str, Any]]:
     return list(out.values())
 
 
-def fit_metrics(y: np.ndarray, guesses: list[np.ndarray]) -> dict[str, float]:
-    """Share of equal values, and average and largest difference, to the nearest of several guesses."""
-    off = np.min([np.abs(y - g) for g in guesses], axis=0)
-    return {"equal": float((off < 1e-6).mean()), "avg-diff": float(off.mean()), "max-diff": float(off.max())}
+def fit_metrics(df: DataFrame, value: Column, guesses: list[Column]) -> DataFrame:
+    """Share of equal values, and average and largest difference, to the nearest of several guesses: one aggregate."""
+    off = reduce(F.least, [F.abs(value - g) for g in guesses]) if len(guesses) > 1 else F.abs(value - guesses[0])
+    return df.agg(F.avg((off < 1e-6).cast("double")).alias("equal"), F.avg(off.cast("double")).alias("avg_diff"), F.max(off.cast("double")).alias("max_diff"))

@@ -17,7 +17,8 @@ AUX = ("offset", "outlier", "null", "switch")
 
 @dataclass
 class Fold:
-    """One folded column. aux: stored columns by kind; constants: values of auxiliary columns that had only one."""
+    """One folded column. aux: stored columns by kind; constants: values of auxiliary columns that had only one;
+    bounds: least and largest stored offset."""
 
     target: str
     model_type: str
@@ -25,13 +26,14 @@ class Fold:
     scale: int = 0
     aux: dict[str, str] = field(default_factory=dict)
     constants: dict[str, Any] = field(default_factory=dict)
+    bounds: dict[str, list[int]] = field(default_factory=dict)
 
     def to_json(self) -> dict[str, Any]:
         return asdict(self)
 
     @staticmethod
     def from_json(data: dict[str, Any]) -> Fold:
-        return Fold(**{k: data[k] for k in ("target", "model_type", "model", "scale", "aux", "constants")})
+        return Fold(**{k: data[k] for k in ("target", "model_type", "model", "scale", "aux", "constants", "bounds") if k in data})
 
 
 def aux_names(columns: list[str], target: str) -> dict[str, str]:
@@ -74,14 +76,23 @@ def layout(df: DataFrame, folds: list[Fold]) -> DataFrame:
     return df.select(*[F.col(quoted(c)) for c in df.columns], *added)
 
 
-def drop_constants(laid: DataFrame, folds: list[Fold]) -> DataFrame:
-    """Drop auxiliary columns with one distinct value; the value moves into the fold. One aggregate finds all."""
+def drop_constants(laid: DataFrame, folds: list[Fold], known: list[dict[str, Any]] | None = None) -> DataFrame:
+    """Drop auxiliary columns with one distinct value; the value moves into the fold. One aggregate finds all, and
+    the nulls of the columns of a profile ``known``, which it corrects."""
     named = [(f, k, n) for f in folds for k, n in f.aux.items() if n in laid.columns]
     exprs = [F.count("*").alias("n")]
     for i, (_, _, n) in enumerate(named):
         c = F.col(quoted(n))
         exprs += [F.count(c).alias(f"{i}_n"), F.min(c).eqNullSafe(F.max(c)).alias(f"{i}_e"), F.min(c).cast("string").alias(f"{i}_v")]
+    offsets = [(f, n) for f, k, n in named if k == "offset"]
+    exprs += [g(F.col(quoted(n))).alias(f"{i}_{g.__name__}_o") for i, (_, n) in enumerate(offsets) for g in (F.min, F.max)]
+    exprs += [F.count(F.col(quoted(p["name"]))).alias(f"{i}_k") for i, p in enumerate(known or ())]
     row = laid.agg(*exprs).first()
+    for i, (f, _) in enumerate(offsets):
+        if row[f"{i}_min_o"] is not None:
+            f.bounds["offset"] = [row[f"{i}_min_o"], row[f"{i}_max_o"]]
+    for i, p in enumerate(known or ()):
+        p["null"] = {"any": row[f"{i}_k"] < row["n"], "all": row[f"{i}_k"] == 0}
     gone = []
     for i, (f, k, n) in enumerate(named):
         if row[f"{i}_n"] == 0 or (row[f"{i}_n"] == row["n"] and row[f"{i}_e"]):
@@ -93,9 +104,9 @@ def drop_constants(laid: DataFrame, folds: list[Fold]) -> DataFrame:
     return laid.drop(*gone)
 
 
-def fold_frame(df: DataFrame, folds: list[Fold]) -> DataFrame:
+def fold_frame(df: DataFrame, folds: list[Fold], known: list[dict[str, Any]] | None = None) -> DataFrame:
     """What is stored: targets dropped, auxiliary columns added, constants moved into the folds."""
-    return drop_constants(layout(df, folds), folds).drop(*[f.target for f in folds]) if folds else df
+    return drop_constants(layout(df, folds), folds, known).drop(*[f.target for f in folds]) if folds or known else df
 
 
 def _stored(fold: Fold, target: Target) -> dict[str, Column | None]:

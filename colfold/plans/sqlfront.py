@@ -5,44 +5,93 @@ from __future__ import annotations
 import re
 import time
 import uuid
+import warnings
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colfold.functions.exprs import tidy
 from colfold.operators.fold import Fold
-from colfold.sources.readers import session
+from colfold.sources.readers import NULL_TOKENS, read_csv, session
 from colfold.sources.store import metadata, read_folded
-from colfold.types import quoted
+from colfold.types import category, quoted
 
-_TOKEN = re.compile(r"""--[^\n]*|/\*.*?\*/|(?P<call>\bread_(?:parquet|csv)\s*\(\s*(?P<q>['"])(?P<path>.*?)(?P=q)\s*\))|'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`""", re.IGNORECASE | re.DOTALL)
+_TEXT = r"""'(?:[^']|'')*'|"(?:[^"]|"")*\""""
+_TOKEN = re.compile(rf"""--[^\n]*|/\*.*?\*/|(?P<call>\bread_(?P<kind>parquet|csv)(?:_auto)?\s*\(\s*(?P<paths>{_TEXT}|\[\s*(?:(?:{_TEXT})\s*,?\s*)*\])(?P<options>(?:\s*,\s*\w+\s*=\s*(?:{_TEXT}|[\w.+-]+))*)\s*\))|{_TEXT}|`(?:[^`]|``)*`""", re.IGNORECASE | re.DOTALL)
+_PART = re.compile(_TEXT)
+_OPTION = re.compile(rf"(\w+)\s*=\s*({_TEXT}|[\w.+-]+)")
 QUOTES = "spark.sql.ansi.doubleQuotedIdentifiers"
 
 
+def _content(text: str) -> str:
+    return text[1:-1].replace(text[0] * 2, text[0]) if text[:1] in ("'", '"') else text
+
+
+def _calls(sql: str) -> dict[str, tuple[str, list[str], dict[str, str]]]:
+    """Kind, paths and options of every call, by its text; texts and comments are not looked into."""
+    out = {}
+    for m in _TOKEN.finditer(sql):
+        if m["call"]:
+            out[m["call"]] = (m["kind"].lower(), [_content(p[0]) for p in _PART.finditer(m["paths"])], {k.lower(): _content(v) for k, v in _OPTION.findall(m["options"] or "")})
+    return out
+
+
 def sources(sql: str) -> list[str]:
-    """Paths of all files that a statement reads; texts and comments are not looked into."""
-    return list(dict.fromkeys(m["path"] for m in _TOKEN.finditer(sql) if m["call"]))
+    """Paths of all files that a statement reads."""
+    return list(dict.fromkeys(p for _, paths, _ in _calls(sql).values() for p in paths))
 
 
 def rewritten(sql: str, views: dict[str, str]) -> str:
-    return _TOKEN.sub(lambda m: views[m["path"]] if m["call"] else m[0], sql)
+    """``views``: by the text of a call."""
+    return _TOKEN.sub(lambda m: views[m["call"]] if m["call"] else m[0], sql)
+
+
+def _flag(options: dict[str, str], name: str, otherwise: bool) -> bool:
+    return options[name].lower() in ("true", "1", "t") if name in options else otherwise
+
+
+_KNOWN = {"parquet": {"hive_partitioning", "union_by_name"}, "csv": {"delim", "sep", "quote", "header", "nullstr", "all_varchar", "union_by_name"}}
+
+
+def source(spark: SparkSession, kind: str, paths: list[str], options: dict[str, str], functions: Any = None) -> DataFrame:
+    """The table of one call: one path or several, folded or plain ones, with the options of the call for plain ones."""
+    if unknown := set(options) - _KNOWN[kind]:
+        raise ValueError(f"unknown option of read_{kind}: {', '.join(sorted(unknown))}")
+    if not paths:
+        raise ValueError(f"read_{kind} has no path")
+
+    def plain(*some: str) -> DataFrame:
+        if kind == "csv":
+            nulls = (options["nullstr"],) if "nullstr" in options else NULL_TOKENS
+            return read_csv(spark, some[0], None, options.get("delim", options.get("sep")), options.get("quote"), _flag(options, "header", True), nulls, _flag(options, "all_varchar", False))
+        reader = spark.read.option("mergeSchema", _flag(options, "union_by_name", False))
+        return (reader if _flag(options, "hive_partitioning", True) else reader.option("recursiveFileLookup", True)).parquet(*some)
+
+    if len(paths) > 1 and kind == "parquet" and all(metadata(spark, p) is None for p in paths):
+        return plain(*paths)
+    frames = [read_folded(spark, p, functions, plain) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=_flag(options, "union_by_name", False)), frames)
 
 
 def query(sql: str, functions: Any = None, schema: Any = None, engine: str = "spark", run: bool = True, fancy: bool = True, return_execution_time: bool = False, spark: SparkSession | None = None) -> Any:
-    """Run SQL whose tables are read_parquet('...') or read_csv('...') of folded or plain files.
+    """Run SQL whose tables are calls of read_parquet or read_csv on folded or plain files: a path, a glob or a list, and options.
 
-    Returns a Spark frame (a pandas frame with engine 'pandas'); the rewritten SQL if ``run`` is false; with
-    ``return_execution_time`` also the nanoseconds that the whole result took. Column names are those of the
-    original columns whatever ``fancy`` says. ``functions`` may replace what the files say about themselves.
+    Returns a Spark frame (a pandas frame with engine 'pandas'); the rewritten SQL, whose views stay, if ``run`` is
+    false; with ``return_execution_time`` also the nanoseconds that the whole result took. Column names are those of
+    the original columns whatever ``fancy`` says. ``functions`` may replace what the files say about themselves.
     """
     if engine not in ("spark", "pandas", "duckdb"):
         raise ValueError(f"unknown engine: {engine}")
+    if engine == "duckdb":
+        warnings.warn("there is one engine; 'duckdb' runs on Spark", stacklevel=2)
     spark = spark or session()
     views = {}
-    for path in sources(sql):
-        views[path] = f"colfold_{uuid.uuid4().hex}"
-        read_folded(spark, path, functions).createOrReplaceTempView(views[path])
+    for call, (kind, paths, options) in _calls(sql).items():
+        views[call] = f"colfold_{uuid.uuid4().hex}"
+        source(spark, kind, paths, options, functions).createOrReplaceTempView(views[call])
     text = rewritten(sql, views)
     if not run:
         return text
@@ -52,6 +101,8 @@ def query(sql: str, functions: Any = None, schema: Any = None, engine: str = "sp
         out = spark.sql(text)
     finally:
         spark.conf.set(QUOTES, before)
+        for view in views.values():  # the analysed plan has no need of the name
+            spark.catalog.dropTempView(view)
     if return_execution_time:
         began = time.time_ns()
         result = out.toPandas() if engine == "pandas" else out
@@ -61,25 +112,38 @@ def query(sql: str, functions: Any = None, schema: Any = None, engine: str = "sp
     return out.toPandas() if engine == "pandas" else out
 
 
-def where_folded(df: DataFrame, path: str, column: str, op: str, value: Any, offsets: tuple[float, float] | None = None) -> DataFrame:
-    """``df`` filtered by ``column op value``, with the implied filter on the one reference of a line, so that
-    row groups can be skipped. Outliers and nulls keep the filter exact, as the column itself is tested too."""
+def where_folded(df: DataFrame, path: str, column: str, op: str, value: Any) -> DataFrame:
+    """``df`` filtered by ``column op value``, with the implied filter on the one reference of a line, so that row
+    groups can be skipped. The bounds of the stored offsets come from the file's layout. A fold with outliers implies
+    nothing; nulls and rounding do no harm, as the column itself is tested too."""
     about = metadata(df.sparkSession, path)
     test = _compared(F.col(quoted(column)), op, value)
     fold = next((Fold.from_json(x) for x in (about or {}).get("functions", []) if x["target"] == column), None)
-    if fold is None or "config" in fold.model or len(fold.model["coeffs"]) != 1 or "outlier" in fold.aux or offsets is None:
+    if fold is None or "config" in fold.model or len(fold.model["coeffs"]) != 1 or "outlier" in fold.aux or "offset" not in fold.bounds:
         return df.where(test)
-    a, b = tidy(fold.model["coeffs"][0]["coeff"]), tidy(fold.model["intercept"])
+    low, high = fold.bounds["offset"]
     ref = F.col(quoted(fold.model["coeffs"][0]["col-name"]))
-    low, high = offsets
-    slack = 1.0
+    kind = category(T.StructType.fromJson(about["struct"])[column].dataType)
     implied = []
-    if op in (">", ">=", "="):
-        implied.append((">=", (value - b - high - slack) / a))
-    if op in ("<", "<=", "="):
-        implied.append(("<=", (value - b - low + slack) / a))
-    for side, bound in implied:
-        df = df.where(_compared(ref, side if a > 0 else {">=": "<=", "<=": ">="}[side], bound))
+    if kind in ("date", "timestamp"):
+        moved = lambda n: F.date_add(F.lit(value).cast("date"), -n) if kind == "date" else F.timestamp_add("MICROSECOND", F.lit(-n), F.lit(value).cast(df.schema[column].dataType))
+        implied += [ref >= moved(high)] if op in (">", ">=", "=") else []
+        implied += [ref <= moved(low)] if op in ("<", "<=", "=") else []
+    elif kind == "num" and (a := tidy(fold.model["coeffs"][0]["coeff"])):
+        b, unit = tidy(fold.model["intercept"]), 10.0**-fold.scale
+        # a unit for rounding, and what doubles of this size may lose
+        slack = unit + 1e-9 * max(1.0, abs(float(value)), abs(b), abs(low * unit), abs(high * unit))
+        ends = [(">=", (float(value) - b - high * unit - slack) / a)] if op in (">", ">=", "=") else []
+        ends += [("<=", (float(value) - b - low * unit + slack) / a)] if op in ("<", "<=", "=") else []
+        for side, bound in ends:
+            side = side if a > 0 else {">=": "<=", "<=": ">="}[side]
+            if category(df.schema[fold.model["coeffs"][0]["col-name"]].dataType) == "num" and not isinstance(df.schema[fold.model["coeffs"][0]["col-name"]].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+                if abs(bound) >= 1 << 53:
+                    continue
+                bound = int(bound // 1) if side == ">=" else -int(-bound // 1)  # as a whole number the filter reaches the scan
+            implied.append(_compared(ref, side, bound))
+    for x in implied:
+        df = df.where(x)
     return df.where(test)
 
 

@@ -1,4 +1,4 @@
-"""Where folded copies of tables go: the shared folder that the session names, else a temporary one."""
+"""Where work tables go: the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -8,6 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where the session names none, a temporary folder is set in local mode; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="colfold-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def new_path(spark: SparkSession, name: str, extension: str = "parquet") -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="colfold-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}.{extension}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" + (f".{extension}" if extension else "")
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder on any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()

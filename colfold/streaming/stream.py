@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colfold.operators.fold import Fold, unfold_frame
@@ -17,3 +18,10 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.parquet(path)
     return raw if about is None else unfold_frame(raw, [Fold.from_json(x) for x in about["functions"]], T.StructType.fromJson(about["struct"]))
+
+
+def windowed_counts(stream: DataFrame, time: str, window: str, late: str, *keys: str) -> DataFrame:
+    """start, keys, n: rows by window of ``time``. Rows later than ``late`` behind the latest time seen are left out, and
+    the state of windows that far back is dropped."""
+    counted = stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("start"), *keys, "n")
