@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from colfold.api import column_sums, fold, from_format, query, to_format, train
 from colfold.operators.choose import estimate, greedy
 from colfold.operators.drill import fit_metrics, numeric_candidates, temporal_candidates
 from colfold.operators.fold import Fold, fold_frame, layout, new_fold, unfold_frame
+from colfold.operators.joins import asof_join, interval_join
 from colfold.operators.profile import column_stats, distinct_counts, profile
 from colfold.plans.sqlfront import where_folded
-from colfold.sources.readers import fraction_sample, head_sample, project, repeatable_sample
+from colfold.sources.readers import fingerprint, fraction_sample, head_sample, project, repeatable_sample
 from colfold.sources.store import metadata
 from colfold.sources.workdir import new_path
 
@@ -111,6 +113,22 @@ def sample_repeatable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeatable_sample(_table(spark, sf_dir, "lineitem"), 1000)
 
 
+@register("select 1000 as n, true as same")
+def sample_repeatable_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows whatever the partitioning."""
+    df = _table(spark, sf_dir, "lineitem")
+    a, b = repeatable_sample(df, 1000), repeatable_sample(df.repartition(7), 1000)
+    return a.agg(F.count("*").cast("int").alias("n")).select("n", F.lit(fingerprint(a) == fingerprint(b)).alias("same"))
+
+
+@register("select true as near, true as same")
+def sample_fraction_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the size asked for, and the same rows whatever the partitioning."""
+    df = _table(spark, sf_dir, "lineitem")
+    a, b = fraction_sample(df, 1000), fraction_sample(df.repartition(7), 1000)
+    return a.agg(F.count("*").between(800, 1200).alias("near")).select("near", F.lit(fingerprint(a) == fingerprint(b)).alias("same"))
+
+
 @register()
 def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fraction_sample(_table(spark, sf_dir, "lineitem"), 1000)
@@ -175,21 +193,32 @@ def sparse_fit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "target string, ref string, coeff double")
 
 
-@register("select true as several, true as exact")
+@register("select 2 as lines, true as exact")
 def k_lines_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewest lines of those that fit best, to four decimals."""
     df = derived(spark, sf_dir, "two_lines").select("x", "y")
     models = next(c for c in train(df, model_types=["k-regression"]) if c["target-name"] == "y")["models"]
-    best = min((m["mse"], len(m["config"])) for m in models.values())
-    return spark.createDataFrame([(best[1] > 1, best[0] < 1e-4)], "several boolean, exact boolean")
+    best = min((round(m["mse"], 4), len(m["config"])) for m in models.values())
+    return spark.createDataFrame([(best[1], best[0] < 1e-4)], "lines int, exact boolean")
+
+
+@register(f"""with g as (select l_orderkey % 2 as side, x::double as x, y::double as y from ({DERIVED['two_lines'][2]})) select round(regr_slope(y, x), 4) as slope, round(regr_intercept(y, x), 4) as intercept from g group by side""")
+def k_lines_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope and intercept of both lines, against regressions over the two halves."""
+    df = derived(spark, sf_dir, "two_lines").select("x", "y")
+    models = next(c for c in train(df, model_types=["k-regression"]) if c["target-name"] == "y")["models"]
+    best = min(models.values(), key=lambda m: (round(m["mse"], 4), len(m["config"])))
+    return spark.createDataFrame([(round(m["coeffs"][0]["coeff"], 4), round(m["intercept"], 4)) for m in best["config"]], "slope double, intercept double")
 
 
 @register("select avg(case when abs(d) < 1e-6 then 1 else 0 end)::double as equal, avg(d)::double as avg_diff, max(d)::double as max_diff from (select abs(l_orderkey % 4)::double as d from lineitem)")
 def fit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
+    return fit_metrics(_table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 4, [F.lit(0)])
+
 
-    y = np.array([r["v"] for r in _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4).alias("v")).collect()], dtype=float)
-    m = fit_metrics(y, [np.zeros_like(y)])
-    return spark.createDataFrame([(m["equal"], m["avg-diff"], m["max-diff"])], "equal double, avg_diff double, max_diff double")
+@register(f"select avg(case when d < 1e-6 then 1 else 0 end)::double as equal, avg(d)::double as avg_diff, max(d)::double as max_diff from (select least(abs(y - (3 * x + 1)), abs(y - (100 - 2 * x)))::double as d from ({DERIVED['two_lines'][2]}))")
+def fit_quality_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_metrics(derived(spark, sf_dir, "two_lines"), F.col("y"), [3 * F.col("x") + 1, 100 - 2 * F.col("x")])
 
 
 @register("select * from (values ('l_shipdate', 'due'), ('due', 'l_shipdate')) t(target, ref)")
@@ -207,8 +236,16 @@ def greedy_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = derived(spark, sf_dir, "li_sum")
-    rows = [(c["target-name"], n, s["base"], s["virtual"]) for c in estimate(df, train(df)) for n, s in c["sizes"].items()]
-    return spark.createDataFrame(rows, "target string, model string, base long, virtual long")
+    rows = [(c["target-name"], n, s["base"], s["folded"]) for c in estimate(df, train(df)) for n, s in c["sizes"].items()]
+    return spark.createDataFrame(rows, "target string, model string, base long, folded long")
+
+
+@register("select * from (values ('l_linenumber', true), ('qty', true), ('qty_line', true)) t(target, smaller)")
+def size_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that take fewer bytes folded, each the sum or difference of the two others."""
+    df = derived(spark, sf_dir, "li_sum")
+    rows = [(c["target-name"], 0 < s["folded"] < s["base"]) for c in estimate(df, train(df)) for s in c["sizes"].values() if c["target-name"] != "l_orderkey"]
+    return spark.createDataFrame(rows, "target string, smaller boolean")
 
 
 # --- folding -----------------------------------------------------------------------------------------------
@@ -292,6 +329,23 @@ def format_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f["target"], f["model_type"]) for f in about["functions"]], "target string, model_type string")
 
 
+@register("select 1 as folds, true as target_is_a_sum, 4 as profiled, count(*) as n from lineitem")
+def metadata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a folded file says of itself, with the rows that it gives back."""
+    path = _written(spark, sf_dir, "li_sum")
+    about = metadata(spark, path)
+    known = [f["target"] in ("l_linenumber", "qty", "qty_line") for f in about["functions"]]
+    return from_format(path, spark=spark).agg(F.count("*").alias("n")).select(F.lit(len(known)).alias("folds"), F.lit(all(known)).alias("target_is_a_sum"), F.lit(len(about["schema"])).alias("profiled"), "n")
+
+
+@register("select true as same, true as moved")
+def fingerprint_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal for the rows in another order, other when one row is gone."""
+    df = _table(spark, sf_dir, "part")
+    one = fingerprint(df)
+    return spark.createDataFrame([(one == fingerprint(df.orderBy(F.desc("p_name")).repartition(3)), one != fingerprint(df.where("p_partkey > 1")))], "same boolean, moved boolean")
+
+
 # --- SQL over folded files ---------------------------------------------------------------------------------
 
 
@@ -326,6 +380,83 @@ _sql("query_range_join", "select a.l_linenumber, count(*) as n from {t} a join {
 _sql("query_asof", "select o_orderkey, ts2 from (select a.o_orderkey, b.ts2, row_number() over (partition by a.o_orderkey order by b.ts2 desc, b.event_id) as k from {u} a join {e} b on b.event_id = a.o_orderkey and b.ts2 >= cast(a.d1 as timestamp) ) z where k = 1", u="ord_dates", e="ev_subsec")
 
 
+_sql("query_right", "select a.qty_line, b.o_orderkey, b.d2 from {t} a right join {u} b on a.l_orderkey = b.o_orderkey and a.qty_line > 54", t="li_sum", u="ord_dates")
+_sql("query_full", "select a.k as l_key, a.hi, b.o_orderkey as o_key from (select l_orderkey + 3 as k, max(qty_line) as hi from {t} q group by l_orderkey + 3) a full join {u} b on a.k = b.o_orderkey", t="li_sum", u="ord_dates")
+_sql("query_cross", "select r.r_name, m.v from {r} r cross join (select distinct l_linenumber as v from {t} q) m", t="li_sum", r="region")
+_sql("query_cube", "select l_linenumber, qty % 5 as m, grouping(l_linenumber) as g, count(*) as n, cast(sum(qty_line) as bigint) as s from {t} q group by cube (l_linenumber, qty % 5)", t="li_sum")
+_sql("query_grouping_sets", "select l_linenumber, qty % 5 as m, count(*) as n, max(qty_line) as hi from {t} q group by grouping sets ((l_linenumber), (qty % 5), ())", t="li_sum")
+_sql("query_union", "select qty_line as v from {t} q where l_linenumber = 1 union select qty_line + 1 as v from {t} r where l_linenumber = 7", t="li_sum")
+_sql("query_union_all", "select l_orderkey, qty_line as v from {t} q where qty_line < 5 union all select l_orderkey, qty_line as v from {t} r where qty_line < 3", t="li_sum")
+_sql("query_except", "select qty_line as v from {t} q where l_linenumber = 7 except select qty_line as v from {t} r where l_linenumber = 1", t="li_sum")
+_sql("query_ranks", "select l_orderkey, l_linenumber, dense_rank() over (partition by l_orderkey order by qty_line desc) as d, ntile(3) over (partition by l_orderkey order by l_linenumber, qty_line) as third, first_value(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line) as head, lead(qty_line, 1, -1) over (partition by l_orderkey order by l_linenumber, qty_line) as nxt, percent_rank() over (partition by l_orderkey order by qty_line) as pr from {t} q", t="li_sum")
+_sql("query_frames", "select l_orderkey, l_linenumber, cast(sum(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line rows between 1 preceding and 1 following) as bigint) as near, cast(sum(qty_line) over (partition by l_orderkey order by l_linenumber range between 1 preceding and current row) as bigint) as upto, count(*) over (partition by l_orderkey) as n from {t} q", t="li_sum")
+_sql("query_case", "select case when qty_line < 20 then 'low' when qty_line < 40 then 'middle' else 'high' end as band, count(*) as n, round(avg(qty_line), 6) as a from {t} q group by case when qty_line < 20 then 'low' when qty_line < 40 then 'middle' else 'high' end having count(*) > 1", t="li_sum")
+_sql("query_in", "select o_orderkey, d2 from {u} a where o_orderkey in (select l_orderkey from {t} b where b.qty_line > 55) and d2 > (select min(d1) from {u} c)", t="li_sum", u="ord_dates")
+_sql("query_stats", "select l_linenumber, round(stddev_samp(qty_line), 6) as sd, round(var_pop(qty_line), 6) as v, round(corr(qty_line, qty), 6) as c, median(qty_line) as med from {t} q group by l_linenumber", t="li_sum")
+
+
+@register("select true as near, count(distinct l_orderkey) as n from lineitem")
+def query_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An approximate distinct count on a folded file lies within a tenth of the exact one."""
+    call = f"read_parquet('{_written(spark, sf_dir, 'li_sum')}')"
+    return query(f"select abs(approx_count_distinct(l_orderkey) - count(distinct l_orderkey)) <= 0.1 * count(distinct l_orderkey) as near, count(distinct l_orderkey) as n from {call} q", spark=spark)
+
+
+def _twice(x: pd.Series) -> pd.Series:
+    return x * 2 + 1
+
+
+@register(f"select l_orderkey, qty_line * 2 + 1 as v from ({DERIVED['li_sum'][2]})")
+def query_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered Arrow function in SQL on a folded file."""
+    spark.udf.register("colfold_twice", F.pandas_udf(_twice, "long"))
+    return query(f"select l_orderkey, colfold_twice(qty_line) as v from read_parquet('{_written(spark, sf_dir, 'li_sum')}')", spark=spark)
+
+
+@register(f"select count(*) as n, cast(sum(qty_line) as bigint) as s from ({DERIVED['li_sum'][2]} union all select l_orderkey, l_linenumber, 0 as qty, 7 as qty_line from lineitem)")
+def query_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of a folded file and a plain one, with an option."""
+    folded, plain = _written(spark, sf_dir, "li_sum"), new_path(spark, "plain")
+    _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "0L as qty", "7L as qty_line").write.parquet(plain)
+    return query(f"select count(*) as n, cast(sum(qty_line) as bigint) as s from read_parquet(['{folded}', '{plain}'], union_by_name = true, hive_partitioning=false)", spark=spark)
+
+
+@register("select l_returnflag, count(*) as n from lineitem where l_orderkey > 100 group by l_returnflag")
+def query_csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "csv", "csv")
+    _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").write.option("sep", ";").csv(path)
+    return query(f"select column1 as l_returnflag, count(*) as n from read_csv('{path}', delim=';', header=false) where column0 > 100 group by column1", spark=spark)
+
+
+@register(f"select l_orderkey, l_shipdate, due from ({DERIVED['li_const_gap'][2]}) where due > timestamp '1998-06-01'")
+def query_where_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a folded timestamp becomes one on its reference, which the scan takes."""
+    path = new_path(spark, "gap")
+    to_format(derived(spark, sf_dir, "li_const_gap"), path)
+    return where_folded(from_format(path, spark=spark), path, "due", ">", "1998-06-01 00:00:00").select("l_orderkey", "l_shipdate", "due")
+
+
+@register("""select o_orderkey, o_custkey, event_id, value from (
+  select o.o_orderkey, o.o_custkey, e.event_id, e.value, row_number() over (partition by o.o_orderkey order by e.ts desc, e.event_id desc) as k
+  from (select o_orderkey, o_custkey % 150 as o_custkey, timestamp '2024-01-01' + interval 1 minute * (o_orderkey % 50000) as at from orders) o
+  left join events e on e.user_id = o.o_custkey and e.ts <= o.at) where k = 1""")
+def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order the latest event of a user at or before a time; users have many events."""
+    orders = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 150 as o_custkey", "timestampadd(MINUTE, cast(o_orderkey % 50000 as int), timestamp_ntz '2024-01-01 00:00:00') as at")
+    events = _table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "value")
+    return asof_join(orders, events, "o_custkey", "user_id", "at", "ts", 3 * 3600).select("o_orderkey", "o_custkey", "event_id", "value")
+
+
+@register("""select p.event_id, i.id from (select event_id, epoch_us(ts) // 1000000 as at from events) p
+join (select event_id as id, epoch_us(ts) // 1000000 as lo, epoch_us(ts) // 1000000 + 60 * (event_id % 20) as hi from events where event_id % 3 = 0) i on p.at between i.lo and i.hi""")
+def range_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events inside intervals of up to 19 minutes that others begin: many of each meet."""
+    second = "timestampdiff(SECOND, timestamp_ntz '1970-01-01 00:00:00', ts)"
+    points = _table(spark, sf_dir, "events").selectExpr("event_id", f"{second} as at")
+    intervals = _table(spark, sf_dir, "events").where("event_id % 3 = 0").selectExpr("event_id as id", f"{second} as lo", f"{second} + 60 * (event_id % 20) as hi")
+    return interval_join(points, intervals, "at", "lo", "hi", 600).select("event_id", "id")
+
+
 @register(f"select l_orderkey, qty_line from ({DERIVED['li_sum'][2]}) where qty_line > 50")
 def query_where_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(spark, sf_dir, "li_sum")
@@ -376,6 +507,21 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+@register("""select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n from events
+where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of a folded folder as a stream, in append mode: only windows that the watermark has closed."""
+    from colfold.streaming.stream import read_stream, windowed_counts
+
+    path = new_path(spark, "stream")
+    to_format(_table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "cast(ts as timestamp) as ts", "cast(timestampadd(MICROSECOND, 5, ts) as timestamp) as seen"), path)
+    name = "windows_" + path.rpartition("-")[2].split(".")[0]
+    running = windowed_counts(read_stream(spark, path), "ts", "1 day", "1 hour", "event_type").writeStream.format("memory").queryName(name).outputMode("append").start()
+    running.processAllAvailable()
+    running.stop()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
