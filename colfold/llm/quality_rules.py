@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs are chosen under a proven limit on false rejection.
 
-Each rule bounds one ratio of a text. Its cutoffs are tried from the loosest to the tightest on the labelled
-good documents of a stratum: a cutoff passes if an exact binomial test shows that it rejects a share of good
-documents below the rule's limit. Along one rule the tests are a fixed sequence that stops at the first
-failure; over strata and rules the error is divided (Bonferroni). Of the passing cutoffs the one with the most
-labelled bad documents rejected, less COST for each good one, is taken, the loosest of equals; a rule without
-such a gain stays off.
+Each rule bounds one ratio of a text. Labels are split in halves by a hash. On the first half every rule of a
+stratum gets the cutoff with the largest gain: labelled bad documents rejected, less COST for each good one, the
+loosest of equals; rules without a gain stay off. The others are put in the order of their gains. The second half,
+held out, is for the proof: a rule is added to those before it if an exact binomial test shows that all of them
+together reject a share of good documents below the limit. The order is fixed before the held-out documents are looked
+at and the tests stop at the first failure, so they need no correction among themselves (a fixed sequence); over
+strata the error is divided (Bonferroni). Strata whose held-out good documents are too few for any test to pass are
+judged as one, and so share their cutoffs.
 
 Edge cases: a null or empty text has no words and fails the base rule. Without labels, or with too few, no
 rule beyond the base is on. A null stratum is a stratum of its own. Repeated rows are judged one by one; a
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colfold.llm.common import small_batches, stored, truth, utf8_texts
+from colfold.llm.common import numbered_columns, small_batches, stored, truth, utf8_texts
 
 SYMBOLS = b"#*$%&|<>"
 BATCH_BYTES = 1 << 20
 #: Share of good documents of a stratum that all rules together may reject, and the chance that this fails.
 RISK, DELTA = 0.05, 0.05
+#: Of the hash that halves the labels.
+SEED = 29
 #: Bad documents that one wrongly rejected good document outweighs.
 COST = 20
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim")
@@ -119,42 +123,63 @@ def below_limit(rejected: int, n: int, limit: float, delta: float) -> bool:
     return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(delta)
 
 
-def choose_cutoffs(counts: dict[tuple[str, str], tuple[list[int], list[int]]], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """counts: for (stratum, rule), how many good and bad documents exceed 0, 1, 2 ... of the rule's cutoffs.
-
-    Cutoffs are nested: whoever exceeds j of n cutoffs exceeds the j tightest.
-    """
-    strata = {s for s, _ in counts}
-    level = delta / max(1, len(strata) * len(RULES))
-    out = {}
-    for (stratum, rule), (good, bad) in sorted(counts.items()):
-        best = 0
-        for i, cutoff in enumerate(RULES[rule]):
-            least = len(RULES[rule]) - i
-            if not below_limit(sum(good[least:]), sum(good), risk / len(RULES), level):
+#: Labelled documents of a stratum: how many, by (held out, good, how many of each rule's cutoffs they exceed).
+Counts = dict[tuple[bool, bool, tuple[int, ...]], int]
+
+
+def pooled(counts: dict[str, Counts], risk: float = RISK, delta: float = DELTA) -> tuple[dict[str, Counts], dict[str, str]]:
+    """Strata with those joined that can prove nothing alone, and the name of each one's own stratum."""
+    held = {s: sum(n for (out, good, _), n in c.items() if out and good) for s, c in counts.items()}
+    few = {s for s, n in held.items() if not below_limit(0, n, risk, delta / len(counts))}
+    of = {s: f"few labels: {', '.join(sorted(few))}" if s in few else s for s in counts}
+    out: dict[str, Counts] = {}
+    for s, c in sorted(counts.items()):
+        for key, n in c.items():
+            mine = out.setdefault(of[s], {})
+            mine[key] = mine.get(key, 0) + n
+    return out, of
+
+
+def choose_cutoffs(counts: dict[str, Counts], risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
+    """Cutoffs by (stratum, rule). Cutoffs are nested: whoever exceeds j of n cutoffs exceeds the j tightest."""
+    sizes = [len(c) for c in RULES.values()]
+    above = lambda steps, r, i: steps[r] >= sizes[r] - i
+    joint, of = pooled(counts, risk, delta) if counts else ({}, {})
+    chosen: dict[str, dict[str, float]] = {}
+    for stratum, own in joint.items():
+        wanted = []
+        for r, (rule, cutoffs) in enumerate(RULES.items()):
+            gains = [sum(n * (-COST if good else 1) for (out, good, steps), n in own.items() if not out and above(steps, r, i)) for i in range(len(cutoffs))]
+            if (best := max(gains)) > 0:
+                wanted.append((-best, r, rule, gains.index(best)))
+        held = [(good, steps, n) for (out, good, steps), n in own.items() if out and good]
+        total, taken = sum(n for _, _, n in held), []
+        for _, r, rule, i in sorted(wanted):
+            rejected = sum(n for _, steps, n in held if any(above(steps, q, j) for q, j in [*taken, (r, i)]))
+            if not below_limit(rejected, total, risk, delta / len(joint)):
                 break
-            if (gain := sum(bad[least:]) - COST * sum(good[least:])) > best:
-                best, out[stratum, rule] = gain, cutoff
-    return out
+            taken.append((r, i))
+            chosen.setdefault(stratum, {})[rule] = RULES[rule][i]
+    return {(s, rule): c for s in of for rule, c in chosen.get(of[s], {}).items()}
 
 
 def calibrate(featured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule) from all labelled documents; what is collected is one row per stratum, rule, label and cutoff."""
+    """Cutoffs by (stratum, rule) from all labelled documents. What is collected are counts by stratum, label, half and the
+    numbers of cutoffs exceeded: some 60,000 rows a stratum at the very most, whatever the input's size."""
     known = truth(labels).where("_l_quality is not null or _l_toxic > 0").select("_l_id", F.expr("if(_l_toxic > 0, 0, _l_quality)").alias("_l_quality"))
-    exceeded = F.array(*[F.struct(F.lit(name).alias("rule"), sum(((value > c).cast("int") for c in RULES[name]), F.lit(0)).alias("step")) for name, value in ratios().items()])
+    exceeded = F.array(*[sum(((value > c).cast("int") for c in RULES[name]), F.lit(0)) for name, value in ratios().items()])
+    held_out = F.pmod(F.xxhash64(F.lit(SEED), "_l_id"), F.lit(2)) == 1
     rows = (
         featured.where(~base_failed())
         .select(F.col("doc_id").cast("long").alias("_d_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), exceeded.alias("e"))
         .join(known, F.col("_d_id") == F.col("_l_id"))
-        .select("stratum", "_l_quality", F.explode("e").alias("e"))
-        .groupBy("stratum", "_l_quality", "e.rule", "e.step")
+        .groupBy("stratum", (F.col("_l_quality") == 1).alias("good"), held_out.alias("held_out"), "e")
         .count()
         .collect()
     )
-    counts: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
+    counts: dict[str, Counts] = {}
     for r in rows:
-        n = len(RULES[r["rule"]]) + 1
-        counts.setdefault((r["stratum"], r["rule"]), ([0] * n, [0] * n))[0 if r["_l_quality"] == 1 else 1][r["step"]] += r["count"]
+        counts.setdefault(r["stratum"], {})[r["held_out"], r["good"], tuple(r["e"])] = r["count"]
     return choose_cutoffs(counts, risk, delta)
 
 
@@ -176,7 +201,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names."""
     narrow = with_features(docs.select("doc_id", stratum, "text")).drop("text")  # no text is shuffled to meet its label
     cutoffs = calibrate(narrow, labels, stratum)
-    return with_features(docs).where(verdict(cutoffs, stratum)).select(*docs.columns)
+    own, name = numbered_columns(docs)
+    return with_features(own, name["text"]).where(verdict(cutoffs, name[stratum])).select(*own.columns).toDF(*docs.columns)
