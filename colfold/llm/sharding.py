@@ -6,11 +6,12 @@ searches the smallest capacity under which best-fit-decreasing needs no more tha
 which makes their sizes near equal.
 
 What is decided centrally is a histogram: groups of one size are interchangeable, so a run of equal groups
-is placed at once. Distinct sizes number at most sqrt(2 * total size), so the histogram is small against the
-input (14 million pairs of numbers at 100 TB at the very most). Which group of a size goes where follows
-from its rank, counted per partition and summed by prefix; nothing is ordered in one task.
+is placed at once. Sizes are rounded up to DIGITS binary digits there, one in 2048 at most, so the histogram has
+no more than some 100,000 rows for any input. Which group of a size goes where follows from its rank, counted per
+partition and summed by prefix; nothing is ordered in one task.
 
-A group larger than an equal share is kept whole (groups are indivisible), in the shard that it fills.
+A group larger than an equal share is kept whole (groups are indivisible), in a shard of its own; the share of the
+other shards is then an equal part of the rest, and so on. So all shards without such a group are near equal.
 
 Edge cases: a null text counts as empty, size 1; all such texts are one group. Repeated rows are rows of
 their group. An empty table gives no rows. Extra columns are ignored. Texts of any length are whole.
@@ -29,6 +30,8 @@ from pyspark.sql import types as T
 from colfold.llm.common import stored, task_id, text_column
 
 SHARDS = 16
+#: Binary digits of a group's size in the histogram.
+DIGITS = 12
 
 
 class RemainingTree:
@@ -117,10 +120,21 @@ def best_fit_decreasing(sizes: np.ndarray, counts: np.ndarray, capacity: int, mo
 
 
 def near_equal(sizes: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
-    """Runs under the smallest capacity for which ``shards`` shards are enough, within one in a million."""
+    """Runs under the smallest capacity for which ``shards`` shards are enough, within one in a million.
+
+    Groups above an equal share of what is left go first, each into a shard of its own."""
+    total, alone, large = int((sizes * counts).sum()), [], 0
+    while large < len(sizes) and int(sizes[large]) * (shards - len(alone)) > total and len(alone) + int(counts[large]) < shards:
+        alone += [(len(alone) + i, large, 1) for i in range(int(counts[large]))]
+        total -= int(sizes[large] * counts[large])
+        large += 1
+    rest = _level(sizes[large:], counts[large:], shards - len(alone), total)
+    return [*alone, *((s + len(alone), i + large, n) for s, i, n in rest)]
+
+
+def _level(sizes: np.ndarray, counts: np.ndarray, shards: int, total: int) -> list[tuple[int, int, int]]:
     if not len(sizes):
         return []
-    total = int((sizes * counts).sum())
     low, high, found = max(-(-total // shards), int(sizes[0])), None, None
     step = max(1, low // 1_000_000)
     found = best_fit_decreasing(sizes, counts, low, shards)
@@ -214,7 +228,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.unhex(F.md5(text)).alias("key"),
     )
     rows = stored(rows, "rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("weight"))
+    groups = rows.groupBy("key").agg(F.sum("size").alias("exact")).withColumn("cut", F.greatest(F.length(F.bin("exact")) - DIGITS, F.lit(0)))
+    groups = groups.select("key", F.expr("shiftleft(shiftright(exact - 1, cut) + 1, cut)").alias("weight"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranked = _numbered(groups.repartitionByRange(parts, F.desc("weight"), "key").sortWithinPartitions(F.desc("weight"), "key"), _ranker, "groups")
     histogram = ranked.groupBy("weight").count().toPandas().sort_values("weight", ascending=False)
