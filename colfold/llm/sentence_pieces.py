@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from colfold.llm.common import small_batches, text_column, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+#: Letters of the longest unit that the index takes; its levels grow with the longest.
+LONGEST_UNIT = 1000
 MOST_UNITS = 600_000
 BATCH_BYTES = 4 << 20
 #: Characters of units that are indexed at once.
@@ -89,17 +92,35 @@ class PieceModel:
         return self.units(MARK + text.replace(" ", MARK))
 
     def merged(self, text: str) -> list[str]:
-        """Pieces of ``text`` by merging the best-scored neighbours first, the leftmost of equals."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Pieces of ``text`` by merging the best-scored neighbours first, the leftmost of equals: a heap of neighbours
+        by score and place, where those that have changed meanwhile are passed over."""
+        n, score = len(text), self.score
+        ends = list(range(1, n + 1))  # where the part that begins at a place ends; 0 if none begins there
+        before = list(range(-1, n - 1))  # where the part before it begins
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = ends[i]
+            if j < n and (s := score.get(text[i : ends[j]])) is not None:
+                heappush(heap, (-s, i, ends[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, end = heappop(heap)
+            j = ends[i]
+            if not j or j >= n or ends[j] != end:
+                continue
+            ends[i], ends[j] = end, 0
+            if end < n:
+                before[end] = i
+            offer(i)
+            if i:
+                offer(before[i])
+        parts, at = [], 0
+        while at < n:
+            parts.append(text[at : ends[at]])
+            at = ends[at]
         return parts
 
     @property
@@ -173,7 +194,16 @@ class PieceModel:
         return out[inverse]
 
     def learn(self, units: list[str]) -> None:
-        """Encode units not met before, in one index."""
+        """Encode units not met before, in one index; those of several word marks or of many letters are merged directly."""
+        if len(self.known) + len(units) > MOST_UNITS:
+            self.known.clear()
+        direct = [u for u in units if len(u) > LONGEST_UNIT or u.startswith(MARK * 2)]
+        for u in direct:
+            self.known[u] = self._ids([self.id.get(p, p) for p in self.merged(u)])
+        if direct:
+            units = [u for u in units if not (len(u) > LONGEST_UNIT or u.startswith(MARK * 2))]
+        if not units:
+            return
         lengths = np.array([len(u) for u in units], dtype=np.int64)
         text = "\0".join(units) + "\0"
         get = self.code.get
@@ -201,18 +231,18 @@ class PieceModel:
             ok[inner] = self._joined(last[s[inner]], t[inner])
             last[e[ok]], back[e[ok]] = t[ok], s[ok]
         last_, back_ = last.tolist(), back.tolist()
-        if len(self.known) + len(units) > MOST_UNITS:
-            self.known.clear()
         for unit, begin, end_ in zip(units, begins.tolist(), ends.tolist(), strict=True):
             at, ids = end_, []
-            if not unit.startswith(MARK * 2):
-                while at > begin and last_[at] >= 0:
-                    ids.append(last_[at] if last_[at] < self.n else text[at - 1])
-                    at = back_[at]
+            while at > begin and last_[at] >= 0:
+                ids.append(last_[at] if last_[at] < self.n else text[at - 1])
+                at = back_[at]
             if at > begin:
                 ids = [self.id.get(p, p) for p in self.merged(unit)][::-1]
-            flat = [x for i in reversed(ids) for x in ((i,) if isinstance(i, int) else (self.byte[b] for b in i.encode()))]
-            self.known[unit] = np.array(flat, dtype="<u4").tobytes()
+            self.known[unit] = self._ids(ids[::-1])
+
+    def _ids(self, parts: list[int | str]) -> bytes:
+        """Ids end to end; what is no piece stands as its bytes."""
+        return np.array([x for i in parts for x in ((i,) if isinstance(i, int) else (self.byte[b] for b in i.encode()))], dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
