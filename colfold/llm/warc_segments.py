@@ -7,11 +7,16 @@ their number, the last also the total length. Records are gzip members; an archi
 bytes. Reading groups segments by origin, orders them by number, verifies that none is missing and that the
 total length is right, takes the chunked framing off, and verifies the payload digest.
 
+Record ids are names (UUID version 5) of page_id, payload digest and url, so that a task can write a reference to
+a record that another one writes. Reading resolves every reference among the records read; one that names no
+record is an error.
+
 Every task writes archives under names of its own attempt and returns them as rows of a manifest; only
 archives of the manifest are read, so those of a lost attempt do no harm.
 
 Edge cases: a null html is an empty payload, a null url an empty one. A null page_id is kept, and is smallest
-only among null ids. Pages with equal id and payload are all responses if the id is the smallest. An empty
+only among null ids. Pages with equal id and payload are all responses if the id is the smallest; the first of their
+urls is referred to. Rows equal in id, url and html are one record that stands there so often. An empty
 table gives one empty manifest. Extra columns are ignored. A broken archive raises ``ValueError``.
 """
 
@@ -35,6 +40,8 @@ CHUNK = 8 << 10
 BATCH_BYTES = 4 << 20
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of an archive that are inflated at once.
+STEP = 1 << 16
 
 
 def payload_digest(payload: bytes) -> str:
@@ -73,12 +80,17 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def page_records(name: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page."""
+def record_id(page_id: int | None, digest: str, url: str, segment: int = 1) -> str:
+    """The id of a page's record, or of one of its continuations."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest} {segment} {url}')}>"
+
+
+def page_records(page_id: int | None, url: str, payload: bytes, original: tuple[int | None, str] | None, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page. ``original``: page_id and url of the response that a revisit refers to."""
     digest = payload_digest(payload)
     headers: dict[str, object] = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{name}>",
+        "WARC-Type": "response" if original is None else "revisit",
+        "WARC-Record-ID": record_id(page_id, digest, url),
         "WARC-Date": DATE,
         "WARC-Target-URI": "".join(url.split()),
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -87,8 +99,8 @@ def page_records(name: str, page_id: int | None, url: str, payload: bytes, refer
         "Page-Payload-Length": len(payload),
     }
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    if refers_to is not None:
-        yield _record(headers | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}, http)
+    if original is not None:
+        yield _record(headers | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(original[0], digest, original[1])}, http)
         return
     block = http + chunked(payload)
     if len(block) <= segment:
@@ -97,7 +109,7 @@ def page_records(name: str, page_id: int | None, url: str, payload: bytes, refer
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     yield _record(headers | {"WARC-Segment-Number": 1}, parts[0])
     for i, part in enumerate(parts[1:], 2):
-        more: dict[str, object] = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:page:{name}:{i}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": headers["WARC-Record-ID"], "WARC-Segment-Number": i}
+        more: dict[str, object] = {"WARC-Type": "continuation", "WARC-Record-ID": record_id(page_id, digest, url, i), "WARC-Date": DATE, "WARC-Segment-Origin-ID": headers["WARC-Record-ID"], "WARC-Segment-Number": i}
         yield _record(more | ({"WARC-Segment-Total-Length": len(block)} if i == len(parts) else {}), part)
 
 
@@ -107,7 +119,7 @@ def _writer(base: str, segment: int, archive: int):
 
         system, root = fs.FileSystem.from_uri(base)
         system.create_dir(root, recursive=True)
-        part, attempt, n = task_id(), uuid.uuid4().hex[:8], 0
+        part, attempt = task_id(), uuid.uuid4().hex[:8]
         stream, written, records, made = None, 0, 0, []
 
         def close() -> None:
@@ -118,8 +130,8 @@ def _writer(base: str, segment: int, archive: int):
             stream, written, records = None, 0, 0
 
         for batch in small_batches(batches, "html", BATCH_BYTES):
-            for page, url, html, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                for record in page_records(f"{page}:{part}.{n}", page, url or "", html, refers, segment):
+            for page, url, html, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                for record in page_records(page, url, html, first and (first["page_id"], first["url"]), segment):
                     if stream is None or written >= archive:
                         close()
                         made.append((f"{base}/part-{part:05}-{attempt}-{len(made):04}.warc.gz",))
@@ -127,7 +139,6 @@ def _writer(base: str, segment: int, archive: int):
                     stream.write(record)
                     written += len(record)
                     records += 1
-                n += 1
         close()
         columns = list(zip(*made, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "records", "bytes"])
@@ -139,21 +150,28 @@ def write(pages: DataFrame, base: str | None = None, min_bytes: int = 0, segment
     """Archives of pages (page_id, url, html); returns their manifest: path, records, bytes."""
     base = base or new_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("digest"))
-    equal = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when((F.col("first") != F.col("page_id")) & (F.octet_length("html") >= min_bytes), F.col("first"))
-    dealt = rows.join(equal, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("digest"))
+    # copies meet by digest without their html; the html meets what is found by page and digest, so no page with many copies does
+    long_enough = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "url", "digest")
+    equal = long_enough.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = long_enough.select("page_id", "digest").distinct().join(equal, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    revisits = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.struct("first.page_id", "first.url").alias("original"))
+    dealt = rows.join(revisits, rows["page_id"].eqNullSafe(F.col("_page")) & (rows["digest"] == F.col("_digest")), "left").select("page_id", "url", "html", "original")
     return stored(dealt.mapInArrow(_writer(base, segment, archive), "path string, records long, bytes long"), "manifest")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of an archive."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data)
+    view, at = memoryview(data), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and at < len(view):
+            parts.append(member.decompress(view[at : at + STEP]))
+            at = min(at + STEP, len(view))
         if not member.eof:
             raise ValueError("a record is cut off")
-        data = member.unused_data
+        at -= len(member.unused_data)
+        raw = b"".join(parts)
         end = raw.index(b"\r\n\r\n")
         first, *lines = raw[:end].decode().split("\r\n")
         if first.encode() != VERSION:
@@ -174,8 +192,8 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_RECORD = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string"
+_RECORD = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers", pa.string()), ("payload", pa.binary()))
 _SEGMENT = (("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page", pa.string()), ("block", pa.binary()))
 
 
@@ -183,9 +201,9 @@ def _read_record(headers: dict[str, str], block: bytes, payloads: bool) -> tuple
     page = int(headers["Page-Id"]) if headers["Page-Id"] else None
     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
     if headers["WARC-Type"] == "revisit":
-        return page, int(headers["Page-Payload-Length"]), digest, "revisit", int(headers["WARC-Refers-To"][10:-1]), None
+        return page, int(headers["Page-Payload-Length"]), digest, "revisit", headers["WARC-Record-ID"], headers["WARC-Refers-To"], None
     payload = payload_of(headers, block)
-    return page, len(payload), digest, "response", None, payload if payloads else None
+    return page, len(payload), digest, "response", headers["WARC-Record-ID"], None, payload if payloads else None
 
 
 def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
@@ -209,7 +227,7 @@ def _parser(payloads: bool):
                         first = headers["WARC-Type"] != "continuation"
                         text = "\n".join(f"{k}: {v}" for k, v in headers.items()) if first else None
                         origin = headers["WARC-Record-ID" if first else "WARC-Segment-Origin-ID"]
-                        rows.append((None,) * 6 + (origin, int(headers["WARC-Segment-Number"]), int(headers["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in headers else None, text, block))
+                        rows.append((None,) * len(_RECORD) + (origin, int(headers["WARC-Segment-Number"]), int(headers["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in headers else None, text, block))
                     else:
                         rows.append((*_read_record(headers, block, payloads), None, None, None, None, None))
                     held += len(block)
@@ -231,10 +249,18 @@ def reassembled(segments: list[dict]) -> tuple[dict[str, str], bytes]:
     return dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in segments[0]["page"].split("\n")), block
 
 
+def _copies(segments: list[dict]) -> int:
+    """How often a record stands in the archives: as often as each of its segments, which are equal then."""
+    if len({s["n"] for s in segments}) > 1 or any(s["low"] != s["high"] for s in segments):
+        raise ValueError("a segment is missing or doubled")
+    return segments[0]["n"]
+
+
 def _joiner(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _batch([_read_record(*reassembled(x), payloads) for x in batch.column(0).to_pylist()], _RECORD)
+        for batch in small_batches(batches, "bytes", 1):
+            x = batch.column(0).to_pylist()[0]
+            yield _batch([_read_record(*reassembled(x), payloads)] * _copies(x), _RECORD)
 
     return run
 
@@ -244,9 +270,18 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
     kinds = f"{RECORD}, payload binary"
     parts = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = stored(archives.select("path").repartition(parts).mapInArrow(_parser(payloads), f"{kinds}, origin string, number int, total long, page string, block binary"), "records")
-    names = [f[0] for f in _RECORD]
-    cut = found.where("origin is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "page", "block"))).alias("s")).select("s").mapInArrow(_joiner(payloads), kinds)
-    out = found.where("origin is null").select(*names).unionByName(cut)
+    names, columns = [f[0] for f in _RECORD], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    once = found.where("origin is not null").groupBy("origin", "number").agg(F.count("*").alias("n"), F.min(F.crc32("block")).alias("low"), F.max(F.crc32("block")).alias("high"), *(F.first(c, ignorenulls=True).alias(c) for c in ("total", "page", "block")))
+    segments = F.sort_array(F.collect_list(F.struct("number", "total", "page", "block", "n", "low", "high"))).alias("s")
+    cut = once.groupBy("origin").agg(segments, F.lit("x").alias("bytes")).select("s", "bytes").mapInArrow(_joiner(payloads), kinds)
+    records = stored(found.where("origin is null").select(*names).unionByName(cut), "whole")
+    responses = records.where("record_type = 'response'")
+    targets = responses.select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page")).dropDuplicates(["_id"])
+    missing = F.raise_error(F.concat(F.lit("a revisit refers to no record: "), F.col("refers")))
+    refers_to = F.when(F.col("_id").isNull(), missing.cast("long")).otherwise(F.col("_page")).alias("refers_to")
+    revisits = records.where("record_type = 'revisit'")
+    resolved = revisits.join(targets, revisits["refers"] == targets["_id"], "left").select(*columns[:4], refers_to, "payload")
+    out = responses.select(*columns[:4], F.lit(None).cast("long").alias("refers_to"), "payload").unionByName(resolved)
     return out if payloads else out.drop("payload")
 
 
