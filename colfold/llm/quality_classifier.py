@@ -5,9 +5,10 @@ labelled good, the raw model in all documents. A document's log weight is the su
 logarithm of target over raw probability. Adding Gumbel noise (a fixed function of seed and doc_id) and
 taking the k largest samples k documents without replacement in proportion to their weights.
 
-``k`` may be given; else nothing is ranked: a document is kept if its mean, the noisy weight over its n-grams and
-SHRINK more of weight 0, reaches the level that all but a share MISS of held-out labelled good documents reach.
-A sum would grow with the length, and the longest good document would set the level. The target is fitted on at most MOST_TARGET of the other
+Documents are ranked by their mean: the noisy weight over the number of their n-grams and SHRINK more of weight 0. A sum
+grows with the length, so that a long document of poor text would rank before a short one of good text, or after it.
+The k largest are sampled, ties at the k-th with them. ``k`` may be given; else the labels say how large the sample is:
+as many documents as rank with all but a share MISS of the held-out labelled good documents. The target is fitted on at most MOST_TARGET of the other
 half of them (those with the smallest hashes); the raw model and the weights take every document.
 
 Toxic text is good prose but for a few words, which no mean over n-grams shows. So a document is good only if no
@@ -16,7 +17,7 @@ among labelled toxic over that among good ones (the same half). A document count
 that is above what all but a share MISS of held-out good documents reach.
 
 Edge cases: a null or empty text has no n-grams and weight 0, so its noise alone decides. Without good labels every document is kept.
-Repeated rows get equal weights and noise. Ties in the noisy weight fall together. Labels without toxic ones weigh no words. Extra columns pass through.
+Repeated rows get equal weights and noise. A null doc_id draws a noise of its own. Labels without toxic ones weigh no words. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colfold.llm.common import small_batches, stored, truth
+from colfold.llm.common import numbered_columns, small_batches, stored, truth
 
 BUCKETS = 1 << 14
 #: Bytes of text that a task hashes at once.
@@ -210,15 +211,15 @@ def with_weights(docs: DataFrame, ratio: np.ndarray | None, toxic: tuple[np.ndar
     return docs.mapInArrow(_scorer(np.zeros(BUCKETS) if ratio is None else ratio, toxic, docs.columns.index(column), column), schema)
 
 
-def noisy(seed: int = SEED) -> Column:
+def noisy(seed: int = SEED, doc_id: str = "doc_id") -> Column:
     """Log weight plus Gumbel noise from 52 bits of a hash of seed and doc_id."""
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("long")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     return F.col("_w_log") - F.log(-F.log(uniform))
 
 
-def noisy_mean() -> Column:
-    """Noisy weight per n-gram, drawn towards 0 in short texts."""
-    return noisy() / (F.col("_w_grams") + F.lit(SHRINK))
+def noisy_mean(doc_id: str = "doc_id") -> Column:
+    """Noisy weight per n-gram, drawn towards 0 in short texts: what documents are ranked by."""
+    return noisy(doc_id=doc_id) / (F.col("_w_grams") + F.lit(SHRINK))
 
 
 def levels_for(scored: DataFrame, labels: DataFrame, miss: float = MISS) -> tuple[float | None, float | None]:
@@ -229,10 +230,10 @@ def levels_for(scored: DataFrame, labels: DataFrame, miss: float = MISS) -> tupl
     return r[0], r[1]
 
 
-def level_for_k(scored: DataFrame, k: int, bits: int = 12) -> float:
-    """The k-th largest noisy weight, by histograms that narrow a scaled integer ``bits`` bits at a time."""
+def level_for_k(scored: DataFrame, k: int, bits: int = 12, scale: int = 40) -> float:
+    """The k-th largest noisy mean, to 2**-scale, by histograms that narrow a whole number ``bits`` bits at a time."""
     low, width = -(1 << 59), 60
-    value = F.floor(noisy() * (1 << 20)).cast("long")
+    value = F.floor(noisy_mean() * float(1 << scale)).cast("long")
     left = k
     while width:
         width -= bits
@@ -245,7 +246,7 @@ def level_for_k(scored: DataFrame, k: int, bits: int = 12) -> float:
             left -= r["count"]
         else:
             return float("-inf")
-    return low / (1 << 20)
+    return low / (1 << scale)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
@@ -253,23 +254,35 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ratio = fit(narrow, labels)
     scored = stored(with_weights(narrow, ratio, fit_toxic(narrow, labels)).drop("text"), "weights")
-    if k is not None:
-        kept = F.lit(True) if ratio is None else noisy() >= F.lit(level_for_k(scored, k))
-    else:
-        level, most = levels_for(scored, labels)
-        kept = F.lit(True) if ratio is None or level is None else _fine(level, most)
+    level, most = (None, None) if ratio is None else sampled(scored, labels, k)
+    kept = F.lit(True) if level is None else _fine(level, most)
     return scored.select("doc_id", F.col("_w_grams").alias("n_grams"), F.round("_w_log", 6).alias("log_weight"), F.round(noisy(), 6).alias("noisy_weight"), kept.alias("kept"))
 
 
-def _fine(level: float, most: float) -> Column:
-    return (noisy_mean() >= F.lit(level)) & (F.col("_w_toxic") <= F.lit(most))
+def sampled(scored: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[float | None, float]:
+    """The level that the k documents of the sample reach, and the toxic weight that they stay within. A k that is given
+    takes the k largest, whatever words they have; else the labels say it, and nothing is said without them."""
+    if k is not None:
+        return level_for_k(scored, k), float("inf")
+    reached, most = levels_for(scored, labels)
+    if reached is None:
+        return None, float("inf")
+    return level_for_k(scored, scored.where(noisy_mean() >= F.lit(reached)).count()), most
+
+
+def _fine(level: float, most: float, doc_id: str = "doc_id") -> Column:
+    return (noisy_mean(doc_id) >= F.lit(level)) & (F.col("_w_toxic") <= F.lit(most))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are sampled, with their own columns."""
+    """The rows of ``docs`` that are sampled, with their own columns, whatever their names."""
     ratio = fit(docs, labels)
     if ratio is None:
         return docs
     toxic = fit_toxic(docs, labels)
-    level, most = levels_for(with_weights(docs.select("doc_id", "text"), ratio, toxic).drop("text"), labels)  # no text is shuffled to meet its label
-    return docs if level is None else with_weights(docs, ratio, toxic).where(_fine(level, most)).select(*docs.columns)
+    scored = stored(with_weights(docs.select("doc_id", "text"), ratio, toxic).drop("text"), "weights")  # no text is shuffled to meet its label
+    level, most = sampled(scored, labels)
+    if level is None:
+        return docs
+    own, name = numbered_columns(docs)
+    return with_weights(own, ratio, toxic, name["text"]).where(_fine(level, most, name["doc_id"])).select(*own.columns).toDF(*docs.columns)
