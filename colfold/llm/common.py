@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colfold.sources import workdir
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -21,21 +21,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, local mode) a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="colfold-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """In the folder that driver and executors share."""
+    return workdir.new_path(spark, name, "")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,15 +44,17 @@ def truth(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_l_id")).agg(F.min("quality").alias("_l_quality"), F.coalesce(F.max(toxic), F.lit(0)).alias("_l_toxic"))
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1 ..., which clash with no name that an operator uses, and the new name of each old one."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def text_column(df: DataFrame, column: str = "text"):
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def fixed_width(column: pa.Array, dtype) -> np.ndarray:
-    return np.asarray(column.to_numpy(zero_copy_only=False), dtype=dtype)
-
-
 def utf8_texts(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes without decoding; null is empty."""
     binary = column.cast(pa.binary()) if not pa.types.is_large_string(column.type) else column.cast(pa.large_binary())
@@ -92,8 +82,3 @@ def task_id() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
-
-
-def crc_column(column):
-    """CRC-32 of a string's UTF-8 bytes, unsigned."""
-    return F.crc32(column)

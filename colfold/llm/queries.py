@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colfold.llm import best_fit_packing, media_columns, quality_classifier, quality_rules, sentence_pieces, sharding, simhash_near_dedup, suffix_dedup, token_counts, warc_segments
-from colfold.llm.common import table
+from colfold.llm.common import stored, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns.digests(media_columns.to_media(table(spark, sf_dir, "documents")))
+    return media_columns.digests(stored(media_columns.to_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colfold.llm.common import small_batches, stored, text_column, utf8_texts
+from colfold.llm.common import numbered_columns, small_batches, stored, text_column, utf8_texts
 
 LENGTH = 400
 GRAM = 64
@@ -51,8 +51,9 @@ MOST = 1000
 CUTS = (16, 1)
 #: Keys at most that stand in more than a share 1 / HOT_KEYS of all stretches (and MOST of them): those are broadcast.
 HOT_KEYS = 4096
-#: Bytes of a block.
+#: Bytes of a block, and blocks of a task.
 BLOCK = 1 << 19
+TASK_BLOCKS = 8
 #: Ranks after a boundary in which its extensions are looked for first.
 NEAR = 8
 MOST_PARTITIONS = 20_000
@@ -376,7 +377,7 @@ def _expanded(bodies: DataFrame, length: int, kind: type) -> DataFrame:
     """Repeated windows of stretches that meet by anchor, in blocks of about BLOCK bytes."""
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    dealt = bodies.select("row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).repartition(min(blocks, MOST_PARTITIONS), "block")
+    dealt = bodies.select("row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).repartition(min(-(-blocks // TASK_BLOCKS), MOST_PARTITIONS), "block")
     return dealt.groupBy("block").applyInPandas(_block(length, kind), _schema("row", "first") + ", last int")
 
 
@@ -526,12 +527,11 @@ def strip(docs: DataFrame, length: int = LENGTH, words: int = WORDS) -> DataFram
 
     Where a removed span cuts a character, the rest of that character is left out.
     """
-    names = docs.columns
-    own, text = docs.toDF(*(f"c{i}" for i in range(len(names)))), f"c{names.index('text')}"
-    key = _ids_are_keys(docs)
-    rows = own.withColumn("row", F.col(f"c{names.index('doc_id')}").cast("long")) if key else stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    own, name = numbered_columns(docs)
+    text, key = name["text"], _ids_are_keys(docs)
+    rows = own.withColumn("row", F.col(name["doc_id"]).cast("long")) if key else stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")
     given = rows.select("row", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     per_row = _runs_by_row(given, length, GRAM, MOST, words)
     joined = rows.join(per_row, "row", "left").select(F.col(text).cast("string").alias("text"), "runs", *(c for c in own.columns if c != text))
     done = joined.mapInArrow(_stripper(length, words), joined.drop("runs").schema)
-    return done.select(*(F.col("text" if c == text else c).alias(n) for c, n in zip(own.columns, names, strict=True)))
+    return done.select(*("text" if c == text else c for c in own.columns)).toDF(*docs.columns)

@@ -157,12 +157,36 @@ def test_rule_features():
 
 
 def test_risk_control():
-    """The binomial test is exact, the fixed sequence stops, and a rule without gain stays off."""
+    """The binomial test is exact, the choice is made on one half, the proof on the other stops at the first failure,
+    a rule without gain stays off, and strata with few labels are joined."""
     assert quality_rules.below_limit(0, 600, 0.01, 0.0025) and not quality_rules.below_limit(0, 590, 0.01, 0.0025)
-    n = len(quality_rules.RULES["word_length"])
-    good, bad = [3000] + [0] * n, [5] + [0] * (n - 1) + [50]
-    assert quality_rules.choose_cutoffs({("en", "word_length"): (good, bad)}) == {("en", "word_length"): 40.0}
-    assert quality_rules.choose_cutoffs({("en", "word_length"): ([50] + [0] * n, bad)}) == {}
+    rules = list(quality_rules.RULES)
+    steps = lambda **k: tuple(k.get(r, 0) for r in rules)
+    clean, long, loud = steps(), steps(word_length=6), steps(upper_share=8)
+    first = {(False, True, clean): 500, (False, False, long): 50, (False, False, loud): 30, (False, False, clean): 5}
+    choose = lambda held, **strata: quality_rules.choose_cutoffs({"en": {**first, **held}, **strata})
+    both = {("en", "word_length"): 40.0, ("en", "upper_share"): 0.9}
+    assert choose({(True, True, clean): 500}) == both
+    assert choose({(True, True, clean): 500, (True, True, long): 5, (True, True, loud): 4}) == both
+    assert choose({(True, True, clean): 500, (True, True, loud): 60}) == {("en", "word_length"): 40.0}
+    assert choose({(True, True, clean): 500, (True, True, long): 60}) == {}
+    assert choose({(True, True, clean): 20}) == {}
+    assert quality_rules.choose_cutoffs({"en": {(False, True, long): 3, **first, (True, True, clean): 500}}) == {("en", "upper_share"): 0.9}
+    few = {(True, True, clean): 50, (False, False, long): 9}
+    got = choose({(True, True, clean): 500}, de=few, fr=few, es={(True, True, clean): 5})
+    assert got == both | {(s, "word_length"): 40.0 for s in ("de", "fr", "es")}
+    assert quality_rules.choose_cutoffs({}) == {}
+
+
+def test_false_rejection_stays_below_the_limit():
+    """Over many draws of labels from rules that reject six in a hundred good documents, a proof hardly ever passes."""
+    rng = np.random.default_rng(0)
+    rules, passed = list(quality_rules.RULES), 0
+    hit, clean = tuple(8 if r == "upper_share" else 0 for r in rules), (0,) * len(rules)
+    for _ in range(400):
+        wrong = int(rng.binomial(400, 0.06))
+        passed += bool(quality_rules.choose_cutoffs({"en": {(False, True, clean): 400, (False, False, hit): 100, (True, True, clean): 400 - wrong, (True, True, hit): wrong}}))
+    assert passed <= 400 * 0.05
 
 
 def test_rules_find_planted_junk(spark):
@@ -387,9 +411,9 @@ def test_classifier(spark):
 
 def test_gumbel_top_k_samples_by_weight(spark):
     """Over many documents of two weights, the shares of a top-k sample follow the weights."""
-    df = spark.range(40_000).selectExpr("id as doc_id", "if(id % 2 = 0, ln(3.0D), 0.0D) as _w_log")
+    df = spark.range(40_000).selectExpr("id as doc_id", "if(id % 2 = 0, ln(3.0D), 0.0D) as _w_log", "70L as _w_grams")
     level = quality_classifier.level_for_k(df, 400)
-    kept = [r["doc_id"] for r in df.where(quality_classifier.noisy() >= level).collect()]
+    kept = [r["doc_id"] for r in df.where(quality_classifier.noisy_mean() >= level).collect()]
     assert len(kept) == 400 and 0.67 < sum(i % 2 == 0 for i in kept) / 400 < 0.83
 
 
