@@ -35,7 +35,7 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(table(spark, sf_dir, "documents"), words=suffix_dedup.WORDS).drop("kept")
+    return suffix_dedup.remove(table(spark, sf_dir, "documents"), words=suffix_dedup.WORDS)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

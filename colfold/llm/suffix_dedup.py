@@ -19,9 +19,10 @@ Crowded anchors. If more than MOST distinct stretches share an anchor (a passage
 surroundings differ), each is cut into shorter stretches that are dealt by all bytes their windows share,
 down to single windows, which are equal or not. So no block is unbounded and no window is skipped.
 
-Words. ``strip`` works twice: on bytes as above, and on words, the symbols of the same steps then being 64-bit hashes
-of words and a window WORDS of them. So a passage of WORDS words goes however few bytes it has, and one of LENGTH
-bytes however few words; white space between words is not compared.
+Words. ``strip`` looks for two kinds of windows in one go: of bytes as above, and of words, the symbols of the same steps
+then being 64-bit hashes of words and a window WORDS of them. So a passage of WORDS words goes however few bytes it
+has, and one of LENGTH bytes however few words; white space between words is not compared. The kinds never meet: they
+share the scans and shuffles only.
 
 Edge cases: null and empty texts, and those shorter than LENGTH, lose nothing. Repeated rows and ties lose
 their common bytes in every copy, the first included. An empty table gives no rows.
@@ -36,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colfold.llm.common import numbered_columns, small_batches, stored, text_column, utf8_texts
+from colfold.llm.common import forget, numbered_columns, small_batches, stored, text_column, utf8_texts
 
 LENGTH = 400
 GRAM = 64
@@ -193,16 +194,22 @@ def _stretches(owner_of: tuple[int, ...], offset_of: tuple[int, ...], pieces: tu
     return np.array(owner_of)[piece], first - starts[piece] + np.array(offset_of)[piece], count, at - first, key.view(np.int64), whole.view(np.int64)
 
 
-STRETCHES = "row long, first int, windows int, at int, anchor long, whole long"
+STRETCHES = "words boolean, row long, first int, windows int, at int, anchor long, whole long"
+#: What equal stretches have in common.
+KEYS = ("words", "anchor", "whole")
+#: Length of a window and of an anchor, by whether the symbols are words.
+Kinds = dict[bool, tuple[int, int]]
 
 
-def _stretcher(length: int, gram: int, words: bool):
+def _stretcher(kinds: Kinds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
             row = batch.column(0).to_numpy(zero_copy_only=False)
-            text, first, windows, at, anchor, whole = stretches(_symbols(utf8_texts(batch.column(1)), words), length, gram)
-            columns = (row[text.astype(np.int64)], first.astype(np.int32), windows.astype(np.int32), at.astype(np.int32), anchor, whole)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "first", "windows", "at", "anchor", "whole"])
+            texts = utf8_texts(batch.column(1))
+            for words, (length, gram) in kinds.items():
+                text, first, windows, at, anchor, whole = stretches(_symbols(texts, words), length, gram)
+                columns = (np.full(len(text), words), row[text.astype(np.int64)], first.astype(np.int32), windows.astype(np.int32), at.astype(np.int32), anchor, whole)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["words", "row", "first", "windows", "at", "anchor", "whole"])
 
     return run
 
@@ -309,21 +316,21 @@ def _runs(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner[a], inner[a], inner[b]
 
 
-def _block(length: int, kind: type):
+def _block(kinds: Kinds):
     """Repeated windows of one block's stretches; those that other rows share as a whole are settled and only compared with."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        windows = rows["windows"].to_numpy().astype(np.int64)
-        flags = repeated_windows(rows["body"].tolist(), windows, length, kind) & np.repeat(rows["alone"].to_numpy(), windows)
+        windows, words = rows["windows"].to_numpy().astype(np.int64), bool(rows["words"].iloc[0])
+        flags = repeated_windows(rows["body"].tolist(), windows, kinds[words][0], _kind(words)) & np.repeat(rows["alone"].to_numpy(), windows)
         group, first, last = _runs(flags, windows)
         begin = rows["first"].to_numpy()[group]
-        return pd.DataFrame({"row": rows["row"].to_numpy()[group], "first": (begin + first).astype(np.int32), "last": (begin + last).astype(np.int32)})
+        return pd.DataFrame({"words": words, "row": rows["row"].to_numpy()[group], "first": (begin + first).astype(np.int32), "last": (begin + last).astype(np.int32)})
 
     return run
 
 
-_FIELDS = {"row": pa.int64(), "first": pa.int32(), "windows": pa.int32(), "at": pa.int32(), "anchor": pa.int64(), "whole": pa.int64(), "alone": pa.bool_(), "many": pa.bool_(), "body": pa.binary()}
-_SQL = {"row": "long", "first": "int", "windows": "int", "at": "int", "anchor": "long", "whole": "long", "alone": "boolean", "many": "boolean", "body": "binary"}
+_FIELDS = {"words": pa.bool_(), "row": pa.int64(), "first": pa.int32(), "windows": pa.int32(), "at": pa.int32(), "anchor": pa.int64(), "whole": pa.int64(), "alone": pa.bool_(), "many": pa.bool_(), "body": pa.binary()}
+_SQL = {"words": "boolean", "row": "long", "first": "int", "windows": "int", "at": "int", "anchor": "long", "whole": "long", "alone": "boolean", "many": "boolean", "body": "binary"}
 
 
 def _schema(*names: str) -> str:
@@ -335,31 +342,40 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _FIELDS[n]) for c, n in zip(columns, names, strict=True)], names=list(names))
 
 
-BODY = ("row", "first", "windows", "at", "anchor", "alone", "many", "body")
-PIECE = ("row", "first", "windows", "at", "anchor", "whole", "alone", "body")
+BODY = ("words", "row", "first", "windows", "at", "anchor", "alone", "many", "body")
+PIECE = ("words", "row", "first", "windows", "at", "anchor", "whole", "alone", "body")
 
 
-def _slicer(length: int, words: bool):
+def _slicer(kinds: Kinds):
     """The symbols of the stretches wanted from each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            out = []
-            for row, text, wanted in zip(batch.column(0).to_pylist(), _symbols(utf8_texts(batch.column(1)), words), batch.column(2).to_pylist(), strict=True):
-                out += [(row, w["first"], w["windows"], w["at"], w["anchor"], w["alone"], w["many"], text[w["first"] : w["first"] + w["windows"] + length - 1].tobytes()) for w in wanted]
-            yield _batch(out, BODY)
+            texts = utf8_texts(batch.column(1))
+            lists = batch.column(2)
+            names = ("words", "first", "windows", "at", "anchor", "alone", "many")
+            fields = dict(zip((f.name for f in lists.type.value_type), lists.flatten().flatten(), strict=True))
+            counts = np.diff(lists.offsets.to_numpy())
+            wanted = list(zip(np.repeat(np.arange(len(texts)), counts).tolist(), *(fields[n].to_pylist() for n in names), strict=True))
+            rows = batch.column(0).to_pylist()
+            for words, (length, _) in kinds.items():
+                symbols, out = _symbols(texts, words), []
+                for i, kind, first, windows, *rest in wanted:
+                    if kind == words:
+                        out.append((words, rows[i], first, windows, *rest, symbols[i][first : first + windows + length - 1].tobytes()))
+                yield _batch(out, BODY)
 
     return run
 
 
-def _cutter(length: int, windows: int, kind: type):
+def _cutter(kinds: Kinds, windows: int):
     """Cuts stretches, at places fixed by the anchor, into pieces of ``windows`` windows keyed by the symbols that these windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "body", BATCH_BYTES):
             out = []
-            for row, first, count, at, anchor, alone, _, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                symbols = np.frombuffer(body, dtype=kind)
+            for words, row, first, count, at, anchor, alone, _, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                symbols, length = np.frombuffer(body, dtype=_kind(words)), kinds[words][0]
                 hashes = Hashes(symbols)
                 cell = (at - np.arange(count)) // windows
                 begins = np.concatenate(([0], np.flatnonzero(np.diff(cell)) + 1))
@@ -367,49 +383,47 @@ def _cutter(length: int, windows: int, kind: type):
                 core = at - cell[begins] * windows  # what all windows of the whole cell share, wherever this stretch ends
                 keys = _mixed(hashes.of(core, core - windows + 1 + length, 0) ^ np.uint64(anchor & (1 << 64) - 1) ^ _mixed((cell[begins] + (1 << 32)).astype(np.uint64)))
                 whole = hashes.of(begins, begins + sizes + length - 1, 1) ^ _mixed((at - begins).astype(np.uint64) * _BASES[1] + sizes.astype(np.uint64))
-                out += [(row, first + b, n, at - b, k, w, alone, symbols[b : b + n + length - 1].tobytes()) for b, n, k, w in zip(begins.tolist(), sizes.tolist(), keys.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True)]
+                out += [(words, row, first + b, n, at - b, k, w, alone, symbols[b : b + n + length - 1].tobytes()) for b, n, k, w in zip(begins.tolist(), sizes.tolist(), keys.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True)]
             yield _batch(out, PIECE)
 
     return run
 
 
-def _expanded(bodies: DataFrame, length: int, kind: type) -> DataFrame:
+def _expanded(bodies: DataFrame, kinds: Kinds) -> DataFrame:
     """Repeated windows of stretches that meet by anchor, in blocks of about BLOCK bytes."""
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    dealt = bodies.select("row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).repartition(min(-(-blocks // TASK_BLOCKS), MOST_PARTITIONS), "block")
-    return dealt.groupBy("block").applyInPandas(_block(length, kind), _schema("row", "first") + ", last int")
+    dealt = bodies.select("words", "row", "first", "windows", "alone", "body", F.pmod(F.xxhash64("words", "anchor"), F.lit(blocks)).alias("block")).repartition(min(-(-blocks // TASK_BLOCKS), MOST_PARTITIONS), "block")
+    return dealt.groupBy("words", "block").applyInPandas(_block(kinds), _schema("words", "row", "first") + ", last int")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, words: bool = False) -> DataFrame:
-    """docs: row (unique long), text. Returns row, first, last: runs of windows that start elsewhere too.
+def repeats(docs: DataFrame, kinds: Kinds, most: int = MOST) -> DataFrame:
+    """docs: row (unique long), text. Returns words, row, first, last: runs of windows that start elsewhere too.
 
-    Places and lengths count bytes, or words with ``words``."""
-    kind = _kind(words)
-    if gram > length:
+    Places and lengths count bytes, or words where ``words`` is true."""
+    if any(gram > length for length, gram in kinds.values()):
         raise ValueError("a gram is longer than a window")
-    found = stored(docs.mapInArrow(_stretcher(length, gram, words), STRETCHES), "stretches")
-    distinct = stored(found.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows", "at")).alias("one")), "distinct")
-    crowd = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = distinct.join(crowd, "anchor").select("one.*", F.struct("one.first", "one.windows", "one.at", "anchor", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many")).alias("w"))
+    found = stored(docs.mapInArrow(_stretcher(kinds), STRETCHES), "stretches")
+    distinct = stored(found.groupBy(*KEYS).agg(F.count("*").alias("n"), *_one(), F.min("windows").alias("windows"), F.min("at").alias("at")), "distinct")
+    crowd = distinct.groupBy("words", "anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    wanted = distinct.join(crowd, ["words", "anchor"]).select("row", F.struct("words", "first", "windows", "at", "anchor", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many")).alias("w"))
     per_row = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    bodies = stored(docs.join(per_row, "row").select("row", "text", "wanted").mapInArrow(_slicer(length, words), _schema(*BODY)), "bodies")
-    equal = _shared(found, distinct, most)
-    runs = [equal.select("row", "first", _last()), _expanded(bodies.where("not many"), length, kind)]
+    bodies = stored(docs.join(per_row, "row").select("row", "text", "wanted").mapInArrow(_slicer(kinds), _schema(*BODY)), "bodies")
+    runs = [stored(_whole_runs(_shared(found, distinct, most)), "whole"), _expanded(bodies.where("not many"), kinds)]
+    forget(found, distinct)
     left = bodies.where("many")
-    for windows in (min(c, length) for c in CUTS):
+    for windows in (min(c, *(length for length, _ in kinds.values())) for c in CUTS):
         if left.isEmpty():
             break
-        pieces = stored(left.select(*BODY).mapInArrow(_cutter(length, windows, kind), _schema(*PIECE)), "pieces")
-        kinds = stored(pieces.groupBy("anchor", "whole").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"), F.min(F.struct("row", "first")).alias("one")), "kinds")
-        equal = _shared(pieces.where("alone"), kinds, most)
-        runs.append(equal.select("row", "first", _last()))
+        pieces = stored(left.select(*BODY).mapInArrow(_cutter(kinds, windows), _schema(*PIECE)), "pieces")
+        sums = stored(pieces.groupBy(*KEYS).agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"), *_one()), "kinds")
+        runs.append(_whole_runs(_shared(pieces.where("alone"), sums, most)))
         if windows == 1:
             break
-        crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        ones = kinds.join(crowd, "anchor").select("one.*", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many"))
-        bodies = stored(pieces.drop("alone").join(ones, ["row", "first"]).select(*BODY), "bodies")
-        runs.append(_expanded(bodies.where("not many"), length, kind))
+        crowd = sums.groupBy("words", "anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        ones = sums.join(crowd, ["words", "anchor"]).select("words", "row", "first", (F.col("n") == 1).alias("alone"), (F.col("kinds") > most).alias("many"))
+        bodies = stored(pieces.drop("alone").join(ones, ["words", "row", "first"]).select(*BODY), "bodies")
+        runs.append(_expanded(bodies.where("not many"), kinds))
         left = bodies.where("many")
     every = runs[0]
     for more in runs[1:]:
@@ -417,9 +431,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     return every
 
 
+def _one() -> list[Column]:
+    """Row and place of one of equal stretches; no struct, so that Spark aggregates by hash."""
+    return [F.min("row").alias("row"), F.min_by("first", "row").alias("first")]
+
+
+def _whole_runs(rows: DataFrame) -> DataFrame:
+    return rows.select("words", "row", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
+
+
 def _shared(rows: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
     """Rows whose anchor and whole stand in several rows. The few that stand in very many never meet in one task."""
-    keys = ["anchor", "whole"]
+    keys = list(KEYS)
     limit = max(most, (kinds.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
     shared, hot = kinds.where("n > 1"), kinds.where(F.col("n") > limit).select(*keys)
     if hot.isEmpty():
@@ -428,19 +451,41 @@ def _shared(rows: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
     return rest.unionByName(rows.join(F.broadcast(hot), keys, "left_semi"))
 
 
-def _last():
-    return (F.col("first") + F.col("windows") - 1).alias("last")
-
-
-def removed_spans(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal byte spans [begin, end) that the windows of the runs cover."""
-    spans: list[list[int]] = []
-    for first, last in sorted(windows):
-        if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], last + length)
-        else:
-            spans.append([first, last + length])
-    return [(a, b) for a, b in spans]
+def merged(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal spans [begin, end) of each owner, ordered; spans that touch are one."""
+    if not len(owner):
+        return owner, begin, end
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order].astype(np.int64), begin[order].astype(np.int64), end[order].astype(np.int64)
+    apart = int(end.max()) + 1  # an owner's spans lie beyond those of the owners before it
+    reach = np.maximum.accumulate(owner * apart + end)
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] * apart + begin[1:] > reach[:-1])))
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], begin[first], reach[last] - owner[last] * apart
+
+
+def _spans(texts: list[bytes], lists: pa.Array, length: int, words: int) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+    """Of each text: maximal byte spans that its runs of windows of bytes cover, and those that all of its runs cover."""
+    fields = dict(zip((f.name for f in lists.type.value_type), (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()), strict=True))
+    counts = np.diff(lists.offsets.to_numpy())
+    counts[np.asarray(lists.is_null())] = 0
+    owner, by_word = np.repeat(np.arange(len(texts)), counts), fields["words"].astype(bool)
+    first, last = fields["first"].astype(np.int64), fields["last"].astype(np.int64)
+    at, begin, end = merged(owner[~by_word], first[~by_word], last[~by_word] + length)
+    own, low, high = merged(owner[by_word], first[by_word], last[by_word] + words)
+    for i in np.unique(own).tolist():
+        a, b = np.searchsorted(own, (i, i + 1))
+        starts, ends = word_bounds(np.frombuffer(texts[i], dtype=np.uint8), np.zeros(1, np.int64))
+        low[a:b], high[a:b] = starts[low[a:b]], ends[high[a:b] - 1]
+    every = merged(np.concatenate((at, own)), np.concatenate((begin, low)), np.concatenate((end, high)))
+    return _by_owner(len(texts), at, begin, end), _by_owner(len(texts), *every)
+
+
+def _by_owner(n: int, owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for i, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True):
+        out[i].append((a, b))
+    return out
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -448,30 +493,19 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _spans(text: bytes, runs: list[dict], length: int, words: int) -> list[tuple[int, int]]:
-    """Maximal byte spans that runs of windows of bytes or of words cover."""
-    spans = removed_spans([(r["first"], r["last"]) for r in runs if not r["words"]], length)
-    if by_word := removed_spans([(r["first"], r["last"]) for r in runs if r["words"]], words):
-        begin, end = word_bounds(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64))
-        spans = removed_spans([*spans, *((int(begin[a]), int(end[b - 1])) for a, b in by_word)], 0)
-    return spans
-
-
-REMOVED = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, n_kept long, repeats boolean, stripped string"
-_REMOVED = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("n_kept", pa.int64()), ("repeats", pa.bool_()), ("stripped", pa.string()))
+_REMOVED = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("repeats", pa.bool_()), ("text", pa.string()))
+REMOVED = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, text string"
 
 
 def _remover(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            rows = []
-            for text, runs in zip(utf8_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                runs = runs or []
-                spans = removed_spans([(r["first"], r["last"]) for r in runs if not r["words"]], length)
-                kept = _kept(text, spans)
-                stripped = _kept(text, _spans(text, runs, length, words))
-                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), len(kept), bool(runs), stripped.decode("utf-8", "ignore")))
-            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _REMOVED, strict=True)]
+            texts, rows = utf8_texts(batch.column(1)), []
+            for text, spans, every in zip(texts, *_spans(texts, batch.column(2), length, words), strict=True):
+                kept = _kept(text, spans) if spans else text
+                left = _kept(text, every).decode("utf-8", "ignore").encode() if every else text
+                rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), bool(every), left))
+            columns = [pa.array(c, pa.binary() if n == "text" else t).cast(t) for c, (n, t) in zip(zip(*rows, strict=True), _REMOVED, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *(n for n, _ in _REMOVED)])
 
     return run
@@ -479,10 +513,8 @@ def _remover(length: int, words: int):
 
 def _runs_by_row(rows: DataFrame, length: int, gram: int, most: int, words: int) -> DataFrame:
     """row, runs: of windows of ``length`` bytes and, if ``words`` is not 0, of so many words."""
-    runs = repeats(rows, length, gram, most).withColumn("words", F.lit(False))
-    if words:
-        runs = runs.unionByName(repeats(rows, words, min(WORD_GRAM, words), most, words=True).withColumn("words", F.lit(True)))
-    return runs.groupBy("row").agg(F.collect_list(F.struct("first", "last", "words")).alias("runs"))
+    kinds: Kinds = {False: (length, gram)} | ({True: (words, min(WORD_GRAM, words))} if words else {})
+    return repeats(rows, kinds, most).groupBy("row").agg(F.collect_list(F.struct("first", "last", "words")).alias("runs"))
 
 
 def _ids_are_keys(docs: DataFrame) -> bool:
@@ -492,10 +524,10 @@ def _ids_are_keys(docs: DataFrame) -> bool:
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, words: int = 0) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left), n_kept (its bytes), and of what ``strip`` does with
-    ``words``: repeats (something is taken out) and stripped (the text that it leaves).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; and of what ``strip`` does with ``words`` (0: nothing but the above):
+    repeats (something is taken out), text (what it leaves) and n_chars (its length).
 
-    Where a removed span cuts a character, the rest of that character is left out of a text."""
+    Where a removed span cuts a character, the rest of that character is left out of the text."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     key = _ids_are_keys(given)
     if not key:
@@ -503,19 +535,19 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     rows = given.select((F.col("doc_id") if key else F.col("row")).alias("row"), "text")
     per_row = _runs_by_row(rows, length, gram, most, words)
     out = rows.join(per_row, "row", "left").select("row", "text", "runs").mapInArrow(_remover(length, words), REMOVED)
+    out = out.withColumn("n_chars", F.length("text").cast("long"))
     if key:
         return out.withColumnRenamed("row", "doc_id")
-    return out.join(given.select("row", "doc_id"), "row").select("doc_id", *(n for n, _ in _REMOVED))
+    return out.join(given.select("row", "doc_id"), "row").select("doc_id", *out.columns[1:])
 
 
 def _stripper(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            texts = batch.column(0).to_pylist()
-            for i, runs in enumerate(batch.column(1).to_pylist()):
-                if runs:
-                    text = texts[i].encode()
-                    texts[i] = _kept(text, _spans(text, runs, length, words)).decode("utf-8", "ignore")
+            texts, own = batch.column(0).to_pylist(), utf8_texts(batch.column(0))
+            for i, spans in enumerate(_spans(own, batch.column(1), length, words)[1]):
+                if spans:
+                    texts[i] = _kept(own[i], spans).decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
 
     return run

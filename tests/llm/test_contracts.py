@@ -263,9 +263,9 @@ def test_removed_columns_beyond_the_contract(spark):
     texts = [f"{word()} {passage} {word()}", f"{word()} {passage} {word()}", " ".join(word() for _ in range(100)), None, "é" * 300, "é" * 300]
     got = {r["doc_id"]: r for r in suffix_dedup.remove(documents(spark, texts), words=suffix_dedup.WORDS).collect()}
     assert [got[i]["repeats"] for i in range(6)] == [True, True, False, False, True, True]
-    assert all(passage not in got[i]["stripped"] and got[i]["n_removed"] == 0 and passage in got[i]["kept"] for i in (0, 1))
-    assert got[2]["stripped"] == texts[2] and got[3]["stripped"] == "" and got[4]["n_kept"] == 0 == len(got[4]["stripped"])
-    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] for r in got.values())
+    assert all(passage not in got[i]["text"] and got[i]["n_removed"] == 0 for i in (0, 1))
+    assert got[2]["text"] == texts[2] and got[3]["text"] == "" and got[4]["n_removed"] == 600 and got[4]["text"] == ""
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
 def test_recall_of_near_duplicates_on_a_table(spark):

@@ -65,7 +65,7 @@ def test_repeated_word_windows(spark):
     for length, gram, most in ((6, 2, 1000), (12, 3, 1)):
         seen = Counter(tuple(w[i : i + length]) for w in map(str.split, texts) for i in range(len(w) - length + 1))
         want = {(row, i) for row, t in enumerate(texts) for w in [t.split()] for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1}
-        got = {(r["row"], i) for r in suffix_dedup.repeats(docs, length, gram, most, words=True).collect() for i in range(r["first"], r["last"] + 1)}
+        got = {(r["row"], i) for r in suffix_dedup.repeats(docs, {True: (length, gram)}, most).collect() for i in range(r["first"], r["last"] + 1)}
         assert got == want
 
 
