@@ -54,6 +54,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op3_token_counts, op4_quality_rules, op5_sharding, op6_sentence_pieces, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_warc, op10_quality_classifier)}
 
 
-#: The media contract's digests of the payload are SQL; the stored form and its features are not, so op2 has none.
+#: The archive's contract on the plain table: SHA-1 in base 32 five hex digits (four letters) at a time, the smallest page of a digest.
+WARC_SQL = """
+WITH sized AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+digested AS (
+    SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY hex) AS original,
+        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - i % 4 * 5)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest
+    FROM sized)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM digested"""
+
+
+#: The others return tokens, hashes of a kind that DuckDB lacks, stored forms, fitted models or a packing, so they have none.
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": WARC_SQL}

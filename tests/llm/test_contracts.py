@@ -9,10 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from oracle import rows, run_sql
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from colfold.llm import best_fit_packing, quality_classifier, quality_rules, sentence_pieces, sharding, simhash_near_dedup, suffix_dedup, warc_segments
+from colfold.llm import best_fit_packing, queries, quality_classifier, quality_rules, sentence_pieces, sharding, simhash_near_dedup, suffix_dedup, warc_segments
 from colfold.llm.common import DEFAULT_TOKENIZER, tokenizer_path
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,3 +299,11 @@ def test_recall_of_near_duplicates_on_a_table(spark):
 
 def test_crc_is_unsigned():
     assert zlib.crc32(b"a") == 3904355907
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    got, want = queries.queries()[name](spark, sf).toPandas(), run_sql(queries.oracle_sql()[name], sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
