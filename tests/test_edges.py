@@ -258,6 +258,26 @@ def test_asof_and_intervals(spark):
     assert {(r["id"], r["id_right"]) for r in interval_join(points, spans, "p", "lo", "hi", 10.0).collect()} == want
 
 
+def test_intervals_over_a_full_cell(spark, monkeypatch):
+    """A cell with very many points is met in parts by several tasks, with all pairs, none of them twice."""
+    from colfold.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(joins, "PART", 2, raising=False)
+    points = [(i, None if i % 40 == 7 else i * 7 % 100) for i in range(400)]
+    spans = [(i, x := i * 13 % 110 - 5, x + i % 30 - 2) for i in range(60)] + [(99, None, 5), (98, 5, None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = spark.createDataFrame(points, "id long, p int").repartition(3), spark.createDataFrame(spans, "id long, lo int, hi int").repartition(3)
+        got = interval_join(a, b, "p", "lo", "hi", 1000).select("id", "id_right", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = sorted((i, j) for i, p in points for j, lo, hi in spans if None not in (p, lo, hi) and lo <= p <= hi)
+    assert sorted((r["id"], r["id_right"]) for r in got) == want
+    assert len({r["task"] for r in got}) > 4
+
+
 def test_late_rows(spark, tmp_path):
     """A row behind the watermark is left out; windows come once they are closed."""
     df = lambda rows: spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for i, m in rows], "id long, ts timestamp").selectExpr("id", "ts", "timestampadd(SECOND, 3, ts) as seen")
