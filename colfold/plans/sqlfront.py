@@ -24,6 +24,8 @@ _TOKEN = re.compile(rf"""--[^\n]*|/\*.*?\*/|(?P<call>\bread_(?P<kind>parquet|csv
 _PART = re.compile(_TEXT)
 _OPTION = re.compile(rf"(\w+)\s*=\s*({_TEXT}|[\w.+-]+)")
 QUOTES = "spark.sql.ansi.doubleQuotedIdentifiers"
+#: Rows of a task that sorts a dealt table.
+TASK_ROWS = 500_000
 
 
 def _content(text: str) -> str:
@@ -76,12 +78,22 @@ def source(spark: SparkSession, kind: str, paths: list[str], options: dict[str,
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=_flag(options, "union_by_name", False)), frames)
 
 
-def query(sql: str, functions: Any = None, schema: Any = None, engine: str = "spark", run: bool = True, fancy: bool = True, return_execution_time: bool = False, spark: SparkSession | None = None) -> Any:
+def dealt(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` dealt by columns to tasks of about TASK_ROWS rows, however many rows there are; rows of one key stay together.
+
+    The number of tasks is named: adaptive execution merges others until there are few more than cores, so that what a
+    window or sort holds in one of them grows with the table."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks, *map(quoted, columns))
+
+
+def query(sql: str, functions: Any = None, schema: Any = None, engine: str = "spark", run: bool = True, fancy: bool = True, return_execution_time: bool = False, spark: SparkSession | None = None, deal: list[str] | None = None) -> Any:
     """Run SQL whose tables are calls of read_parquet or read_csv on folded or plain files: a path, a glob or a list, and options.
 
     Returns a Spark frame (a pandas frame with engine 'pandas'); the rewritten SQL, whose views stay, if ``run`` is
     false; with ``return_execution_time`` also the nanoseconds that the whole result took. Column names are those of
     the original columns whatever ``fancy`` says. ``functions`` may replace what the files say about themselves.
+    ``deal`` names the columns that windows are partitioned by: tables that have them are dealt by them to tasks of bounded size.
     """
     if engine not in ("spark", "pandas", "duckdb"):
         raise ValueError(f"unknown engine: {engine}")
@@ -91,7 +103,8 @@ def query(sql: str, functions: Any = None, schema: Any = None, engine: str = "sp
     views = {}
     for call, (kind, paths, options) in _calls(sql).items():
         views[call] = f"colfold_{uuid.uuid4().hex}"
-        source(spark, kind, paths, options, functions).createOrReplaceTempView(views[call])
+        table = source(spark, kind, paths, options, functions)
+        (dealt(table, deal) if deal and set(deal) <= set(table.columns) else table).createOrReplaceTempView(views[call])
     text = rewritten(sql, views)
     if not run:
         return text

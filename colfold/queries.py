@@ -349,12 +349,12 @@ def fingerprint_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- SQL over folded files ---------------------------------------------------------------------------------
 
 
-def _sql(name: str, statement: str, **tables: str) -> None:
+def _sql(name: str, statement: str, deal: list[str] | None = None, **tables: str) -> None:
     """A statement with {table} places: read_parquet calls of folded files here, plain tables in the oracle."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths = {t: _written(spark, sf_dir, d) if d in DERIVED else f"{sf_dir}/{d}.parquet" for t, d in tables.items()}
-        return query(statement.format(**{t: f"read_parquet('{p}')" for t, p in paths.items()}), spark=spark)
+        return query(statement.format(**{t: f"read_parquet('{p}')" for t, p in paths.items()}), spark=spark, deal=deal)
 
     run.__name__ = name
     register(statement.format(**{t: f"({DERIVED[d][2]})" if d in DERIVED else d for t, d in tables.items()}))(run)
@@ -371,7 +371,7 @@ _sql("query_join", "select a.l_orderkey, a.l_linenumber, a.qty_line, b.d2 from {
 _sql("query_outer", "select a.o_orderkey, a.d2, count(b.qty_line) as n from {u} a left join {t} b on b.l_orderkey = a.o_orderkey and b.qty_line > 50 group by a.o_orderkey, a.d2", t="li_sum", u="ord_dates")
 _sql("query_semi", "select o_orderkey, d2 from {u} a where exists (select 1 from {t} b where b.l_orderkey = a.o_orderkey and b.qty_line > 55)", t="li_sum", u="ord_dates")
 _sql("query_anti", "select o_orderkey, d2 from {u} a where not exists (select 1 from {t} b where b.l_orderkey = a.o_orderkey and b.qty_line > 20)", t="li_sum", u="ord_dates")
-_sql("query_window", "select l_orderkey, l_linenumber, qty_line, rank() over (partition by l_orderkey order by qty_line desc) as r, lag(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line) as prev from {t} q", t="li_sum")
+_sql("query_window", "select l_orderkey, l_linenumber, qty_line, rank() over (partition by l_orderkey order by qty_line desc) as r, lag(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line) as prev from {t} q", ["l_orderkey"], t="li_sum")
 _sql("query_rollup", "select l_linenumber, qty % 5 as m, count(*) as n, cast(sum(qty_line) as bigint) as s from {t} q group by rollup (l_linenumber, qty % 5)", t="li_sum")
 _sql("query_setop", "select qty_line as v from {t} q where l_linenumber = 1 intersect select qty_line as v from {t} r where l_linenumber = 7", t="li_sum")
 _sql("query_topk", "select l_orderkey, l_linenumber, qty_line from {t} q order by qty_line desc, l_orderkey, l_linenumber limit 20", t="li_sum")
@@ -388,8 +388,8 @@ _sql("query_grouping_sets", "select l_linenumber, qty % 5 as m, count(*) as n, m
 _sql("query_union", "select qty_line as v from {t} q where l_linenumber = 1 union select qty_line + 1 as v from {t} r where l_linenumber = 7", t="li_sum")
 _sql("query_union_all", "select l_orderkey, qty_line as v from {t} q where qty_line < 5 union all select l_orderkey, qty_line as v from {t} r where qty_line < 3", t="li_sum")
 _sql("query_except", "select qty_line as v from {t} q where l_linenumber = 7 except select qty_line as v from {t} r where l_linenumber = 1", t="li_sum")
-_sql("query_ranks", "select l_orderkey, l_linenumber, dense_rank() over (partition by l_orderkey order by qty_line desc) as d, ntile(3) over (partition by l_orderkey order by l_linenumber, qty_line) as third, first_value(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line) as head, lead(qty_line, 1, -1) over (partition by l_orderkey order by l_linenumber, qty_line) as nxt, percent_rank() over (partition by l_orderkey order by qty_line) as pr from {t} q", t="li_sum")
-_sql("query_frames", "select l_orderkey, l_linenumber, cast(sum(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line rows between 1 preceding and 1 following) as bigint) as near, cast(sum(qty_line) over (partition by l_orderkey order by l_linenumber range between 1 preceding and current row) as bigint) as upto, count(*) over (partition by l_orderkey) as n from {t} q", t="li_sum")
+_sql("query_ranks", "select l_orderkey, l_linenumber, dense_rank() over (partition by l_orderkey order by qty_line desc) as d, ntile(3) over (partition by l_orderkey order by l_linenumber, qty_line) as third, first_value(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line) as head, lead(qty_line, 1, -1) over (partition by l_orderkey order by l_linenumber, qty_line) as nxt, percent_rank() over (partition by l_orderkey order by qty_line) as pr from {t} q", ["l_orderkey"], t="li_sum")
+_sql("query_frames", "select l_orderkey, l_linenumber, cast(sum(qty_line) over (partition by l_orderkey order by l_linenumber, qty_line rows between 1 preceding and 1 following) as bigint) as near, cast(sum(qty_line) over (partition by l_orderkey order by l_linenumber range between 1 preceding and current row) as bigint) as upto, count(*) over (partition by l_orderkey) as n from {t} q", ["l_orderkey"], t="li_sum")
 _sql("query_case", "select case when qty_line < 20 then 'low' when qty_line < 40 then 'middle' else 'high' end as band, count(*) as n, round(avg(qty_line), 6) as a from {t} q group by case when qty_line < 20 then 'low' when qty_line < 40 then 'middle' else 'high' end having count(*) > 1", t="li_sum")
 _sql("query_in", "select o_orderkey, d2 from {u} a where o_orderkey in (select l_orderkey from {t} b where b.qty_line > 55) and d2 > (select min(d1) from {u} c)", t="li_sum", u="ord_dates")
 _sql("query_stats", "select l_linenumber, round(stddev_samp(qty_line), 6) as sd, round(var_pop(qty_line), 6) as v, round(corr(qty_line, qty), 6) as c, median(qty_line) as med from {t} q group by l_linenumber", t="li_sum")

@@ -171,6 +171,20 @@ def test_query_surface(spark, tmp_path):
     assert colfold.query("select 'read_parquet(''x'')' as t").first()["t"] == "read_parquet('x')"
 
 
+def test_window_tasks_stay_small(spark, monkeypatch):
+    """Tasks that sort for a window take a bounded number of rows, and adaptive execution does not merge them."""
+    from colfold import queries as engine
+    from colfold.plans import sqlfront
+
+    monkeypatch.setattr(sqlfront, "TASK_ROWS", 1000, raising=False)
+    for name in ("query_ranks", "query_window", "query_frames"):
+        df = engine.queries()[name](spark, SF)
+        rows = df.withColumn("task", F.spark_partition_id()).toPandas().groupby("task").size()
+        assert rows.sum() == 60_000
+        assert rows.max() < 1500, name
+        assert plan(df).count("Exchange hashpartitioning") == 1
+
+
 def test_pandas_input(spark):
     frame = pd.DataFrame({"a": [1, 2, 3], "b": [2.5, 3.5, 4.5]})
     assert read(frame).count() == 3 and [p["scale"] for p in generate_schema(frame)] == [0, 1]
