@@ -17,6 +17,7 @@ from colfold.plans.sqlfront import where_folded
 from colfold.queries import derived, fixed_folds
 from colfold.sources.readers import fraction_sample, header, read, read_csv, repeatable_sample, sniff
 from colfold.sources.store import metadata
+from colfold.sources.workdir import folder_bytes
 from colfold.streaming.stream import read_stream, windowed_counts
 
 SF = "/root/testdata/sf0.01"
@@ -292,6 +293,26 @@ def test_intervals_over_a_full_cell(spark, monkeypatch):
     assert len({r["task"] for r in got}) > 4
 
 
+def test_dense_pairs_stay_small_on_disk(spark, tmp_path, monkeypatch):
+    """Pairs of the many points and intervals of two cells come in an order that a Parquet file stores in few bytes."""
+    import numpy as np
+
+    from colfold.operators import joins
+
+    monkeypatch.setattr(joins, "TASK_POINTS", 500, raising=False)
+    rng = np.random.default_rng(5)
+    at, low = rng.integers(0, 20_000, 6_000), rng.integers(-5_000, 20_000, 400)
+    high = low + rng.integers(0, 15_000, 400)
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(6_000), "p": at}))
+    spans = spark.createDataFrame(pd.DataFrame({"span": np.arange(400), "lo": low, "hi": high}))
+    path = f"{tmp_path}/pairs"
+    interval_join(points, spans, "p", "lo", "hi", 10_000).select("id", "span").write.parquet(path)
+    got = spark.read.parquet(path).toPandas().to_numpy()
+    want = np.argwhere((at[:, None] >= low) & (at[:, None] <= high))
+    assert len(want) > 500_000 and (got[np.lexsort(got.T[::-1])] == want).all()
+    assert folder_bytes(spark, path) < 0.5 * len(want), folder_bytes(spark, path) / len(want)
+
+
 def test_late_rows(spark, tmp_path):
     """A row behind the watermark is left out; windows come once they are closed."""
     df = lambda rows: spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for i, m in rows], "id long, ts timestamp").selectExpr("id", "ts", "timestampadd(SECOND, 3, ts) as seen")
